@@ -26,7 +26,7 @@ def _quality() -> str:
     forms = ", ".join(map(_quote, q.spellings(bins)))
     counts = ", ".join(f"len(list_filter(common, lambda x: x = {_quote(w)})) AS b{i}" for i, w in enumerate(bins))
     count = lambda rx: f"len(regexp_extract_all(t, {_quote(rx)}))"
-    shares = ["up / len", "dig / len", "(len - word_chars) / len", "pt / len", "n_symbols / len", "(word_chars - up - dig - pt - n_symbols) / len"]
+    shares = ["up / len", "(len - word_chars) / len", "pt / len", "n_symbols / len", "(word_chars - up - pt - n_symbols) / len"]
     langs = []
     for words in q.WORD_REFERENCES.values():
         cs = [f"b{bins.index(w)}" for w in words]
@@ -34,12 +34,12 @@ def _quality() -> str:
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 a AS (SELECT doc_id, t, regexp_extract_all(t, '{WORD}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines,
-  length(t)::DOUBLE AS len, {count(q.UPPER)} AS up, {count(q.DIGIT)} AS dig, {count(q.POINT)} AS pt, {count(q.SYMBOL)}::BIGINT AS n_symbols FROM d),
+  length(t)::DOUBLE AS len, {count(q.UPPER)} AS up, {count(q.POINT)} AS pt, {count(q.SYMBOL)}::BIGINT AS n_symbols FROM d),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM a WHERE len(w) >= 3)),
 r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
 c AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (VALUES (0), (1), (2)) v(k) GROUP BY doc_id),
 b AS (SELECT a.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len, up, dig, pt,
+  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len, up, pt,
   list_transform(list_filter(w, lambda x: x IN ({forms})), lambda x: lower(rtrim(x, {_quote(q.MARKS)}))) AS common
   FROM a LEFT JOIN c ON a.doc_id = c.doc_id),
 e AS (SELECT * EXCLUDE (common), {counts}, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM b),

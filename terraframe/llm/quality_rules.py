@@ -22,10 +22,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import SPACES
 
 SYMBOLS = "#*$%&|<>"
-#: Character classes as regular expressions; spaces and "other" (letters and the rest) are what is left.
-UPPER, DIGIT, POINT, SYMBOL = "\\p{Lu}", "[0-9]", "[.,;:!?'\"()-]", f"[{SYMBOLS}]"
-#: Shares of upper case, digits, spaces, points, symbols and other in running text.
-CLASS_REFERENCE = (0.016, 0.002, 0.162, 0.025, 0.0005, 0.7945)
+#: Character classes as regular expressions; spaces and "other" are what is left. Digits are "other": a number or
+#: an address in a short clean text would else weigh as much as junk.
+UPPER, POINT, SYMBOL = "\\p{Lu}", "[.,;:!?'\"()-]", f"[{SYMBOLS}]"
+#: Shares of upper case, spaces, points, symbols and other in running text.
+CLASS_REFERENCE = (0.016, 0.162, 0.025, 0.0005, 0.7965)
 #: Shares of the most common words in running text, by language.
 WORD_REFERENCES: Mapping[str, Mapping[str, float]] = {
     "en": {"the": 0.062, "of": 0.037, "and": 0.026, "to": 0.02, "a": 0.016, "in": 0.014, "is": 0.012, "that": 0.01},
@@ -38,8 +39,8 @@ MARKS = ".,"
 #: Least words and characters for a histogram to say anything.
 MIN_WORDS = 50
 MIN_CHARS = 200
-MAX_CLASS_DISTANCE = 0.2
-MAX_WORD_DISTANCE = 0.33
+MAX_CLASS_DISTANCE = 0.135
+MAX_WORD_DISTANCE = 0.3
 
 
 def jensen_shannon(shares: list[Column], reference: list[float]) -> Column:
@@ -106,7 +107,6 @@ def judge(docs: DataFrame, *, text_col: str = "text", references: Mapping[str, M
         F.char_length(F.array_join("_w", "")).cast("long").alias("_wc"),
         F.regexp_count("_t", F.lit(SYMBOL)).cast("long").alias("_sym"),
         F.regexp_count("_t", F.lit(UPPER)).cast("long").alias("_up"),
-        F.regexp_count("_t", F.lit(DIGIT)).cast("long").alias("_dig"),
         F.regexp_count("_t", F.lit(POINT)).cast("long").alias("_pt"),
         lines.alias("_lines"),
         grams.alias("_grams"),
@@ -115,8 +115,8 @@ def judge(docs: DataFrame, *, text_col: str = "text", references: Mapping[str, M
     step = step.withColumn("_rep", covered_by_repeats("_grams")).withColumn("_dup", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     step = step.withColumn("_bins", F.struct(*[occurrences("_common", w).alias(f"b{i}") for i, w in enumerate(bins)]))
     of = lambda c: F.col(c) / F.col("_len")
-    rest = F.col("_wc") - F.col("_up") - F.col("_dig") - F.col("_pt") - F.col("_sym")
-    shares = [of("_up"), of("_dig"), (F.col("_len") - F.col("_wc")) / F.col("_len"), of("_pt"), of("_sym"), rest / F.col("_len")]
+    rest = F.col("_wc") - F.col("_up") - F.col("_pt") - F.col("_sym")
+    shares = [of("_up"), (F.col("_len") - F.col("_wc")) / F.col("_len"), of("_pt"), of("_sym"), rest / F.col("_len")]
     class_distance = F.when(F.col("_len") >= MIN_CHARS, jensen_shannon(shares, list(class_reference)))
     by_language = []
     for words in references.values():
