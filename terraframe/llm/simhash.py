@@ -90,7 +90,9 @@ def link(classes: DataFrame) -> DataFrame:
     """Links (u, v) between representatives of classes (fp, rep) that differ by one or two bits, enough to connect them all."""
     cell, own = grid_cells(F.col("fp"))
     posted = classes.select("fp", "rep", own.alias("own")).select("fp", "rep", F.explode(cell).alias("cell"))
-    shared = posted.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").withColumn("hit", F.lit(True))
+    # where a cell holds two fingerprints, the bits they don't share are their distance
+    shared = posted.groupBy("cell").agg(F.count("*").alias("n"), F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any"))
+    shared = shared.filter((F.col("n") > 2) | ((F.col("n") == 2) & (F.bit_count(F.col("all").bitwiseXOR(F.col("any"))) <= 2))).select("cell", "n", F.lit(True).alias("hit"))
     near = attach(posted, shared, "cell", "n", ["hit"], F.col("fp")).filter("hit").groupBy("fp", "rep").agg(F.count("*").alias("cells"))
     # verified exactly: a shared value within one bit of both
     at = near.select("rep", F.explode(midpoints(F.col("fp"))).alias("mid"))
