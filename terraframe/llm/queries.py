@@ -23,6 +23,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *(f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import deduplicate
+
+    return deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .compression_classifier import classify
 
@@ -60,5 +66,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op3_quality_rules, op5_compression_classifier, op6_toxicity, op7_mixing, op8_embedding_dedup, op9_sharding, op10_simhash)
+    f.__name__: f for f in (op1_warc, op3_quality_rules, op4_substring_dedup, op5_compression_classifier, op6_toxicity, op7_mixing, op8_embedding_dedup, op9_sharding, op10_simhash)
 }
