@@ -17,6 +17,16 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(_table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: number and SHA-256 of its ids (little-endian 32-bit numbers), and whether decoding them gives the text again."""
+    from .sentencepiece_lattice import decode, encode, load_model
+
+    model = load_model(spark)
+    coded = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    n = F.expr("octet_length(tokens) div 4").cast("long")
+    return coded.select("doc_id", n.alias("n_tokens"), F.sha2("tokens", 256).alias("ids_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
@@ -66,5 +76,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op3_quality_rules, op4_substring_dedup, op5_compression_classifier, op6_toxicity, op7_mixing, op8_embedding_dedup, op9_sharding, op10_simhash)
+    f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_quality_rules, op4_substring_dedup, op5_compression_classifier, op6_toxicity, op7_mixing, op8_embedding_dedup, op9_sharding, op10_simhash)
 }
