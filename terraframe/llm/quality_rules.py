@@ -133,4 +133,5 @@ def judge(docs: DataFrame, *, text_col: str = "text", references: Mapping[str, M
         F.col("_n").alias("n_words"), F.col("_wc").alias("word_chars"), F.col("_sym").alias("n_symbols"), F.col("_dup").alias("n_dup_lines"), F.col("_rep").alias("n_repeat_words"),
         F.col("_bad").alias("base_failed"), F.col("_cd").alias("class_distance"), F.col("_wd").alias("word_distance"), kept.alias("kept"),
     )
-    return step.select(*[F.col(f"`{c}`") for c in docs.columns], rules.alias("rules"))
+    # a generator bars a later filter on the verdict from being pushed down, where it would be computed many times over
+    return step.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(rules)).alias("rules"))
