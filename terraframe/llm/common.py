@@ -71,6 +71,34 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def put(path: str, data: bytes) -> None:
+    """Write a file of the shared folder from a task; it appears whole, and a repeated task replaces it by the same."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    store.create_dir(at.rpartition("/")[0], recursive=True)
+    draft = f"{at}.{uuid.uuid4().hex}"
+    with store.open_output_stream(draft, compression=None) as out:
+        out.write(data)
+    store.move(draft, at)
+
+
+def mapped(path: str):
+    """A file of the shared folder as a buffer, mapped into memory where the folder is mounted; None if there is no such file."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    if store.get_file_info(at).type != fs.FileType.File:
+        return None
+    if store.type_name == "local":
+        import mmap
+
+        with open(at, "rb") as f:
+            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    with store.open_input_file(at) as f:
+        return f.read()
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, weight: str, values: list[str], spread: Column) -> DataFrame:
     """Left join of ``rows`` to ``groups`` (one row per key) that no hot key can unbalance.
 

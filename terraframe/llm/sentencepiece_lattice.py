@@ -1,20 +1,22 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 A text falls into words that no piece crosses. Each distinct word is exploded into its substrings of bounded length, these are
-equi-joined to the piece table, and the matches, grouped by word again, are the edges of the word's lattice. A higher-order
-``aggregate`` folds the lattice into the word's ids:
+equi-joined to the piece table, and the matches of a word are the edges of its lattice. A fold turns the lattice into the word's ids:
 
 * for a unigram model a Viterbi fold over the positions, which keeps the best path to each;
 * for a BPE model a fold over merges. The best path by the sum of scores isn't what a BPE model means: it merges,
   again and again, the pair of neighbours whose joint piece has the highest score. The same edges say which pairs are pieces.
 
-Characters that are no piece become the pieces of their bytes. Ids then go back to the texts: the most common words of a sample travel as
-a broadcast dictionary of at most DICTIONARY words; every other word is joined by the word itself, so the dictionary
-only saves work and no size of vocabulary has to fit anywhere. Texts are shuffled compressed, and only if they hold other words.
+``lattice(..., style="sql")`` groups the edges by an aggregate and folds them by the higher-order function ``aggregate``; the default style
+"arrow" takes the edges as they stream (those of a word stay together, as nothing deals them out after the explode; this is checked) and folds
+them in Python. Both give the same ids; see the README for what they cost.
+
+Characters that are no piece become the pieces of their bytes. The ids of the DICTIONARY most frequent words form a sorted table of word
+hashes in the shared folder, which tasks map into memory to look words up; it has a fixed bound. Words beyond it are joined to
+the texts by the word itself, so no vocabulary has to fit anywhere; the texts are then shuffled, compressed.
 
 Nulls: a null text has no ids and decodes to null, an empty text has none and decodes to the empty text. Rows with equal texts are
-encoded alike. Words may be of any length; folding one takes time with the square of its length. Only models without a
-normalisation table are accepted. Extra columns are kept.
+encoded alike. Words may be of any length. Only models without a normalisation table are accepted. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -27,13 +29,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from .common import arrow_batches, attach, materialise
+from .common import arrow_batches, attach, fresh, materialise
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words in the broadcast dictionary, and the share of rows sampled to choose them.
-DICTIONARY = 1 << 18
-SAMPLED = 0.03
+#: Words in the dictionary (about 20 bytes each), the parts of it by the first bits of the hash, and words a task keeps at hand.
+DICTIONARY = 1 << 23
+PART_BITS = 6
+AT_HAND = 1 << 16
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 
 
@@ -163,32 +166,216 @@ def _viterbi(longest: int, worst: float) -> Column:
     return F.expr(f"transform(array({forward}), f -> {back})[0]")
 
 
-def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """(word, ids array<int>) of distinct words."""
-    spark, longest = words.sparkSession, model.longest
+def _edges(words: DataFrame, model: Model) -> DataFrame:
+    """(wid, n, word, i, l, id, score): substring i, l of a word that is a piece, or a single character; the word is in its first row."""
+    spark = words.sparkSession
     # bounded by the model: one row per piece
     table = F.broadcast(spark.createDataFrame([(p, i, float(s)) for p, i, s in model.pieces], "piece string, id int, score double"))
-    spans = f"""flatten(transform(sequence(1, n), i -> transform(sequence(1, least({longest}, n - i + 1)),
-      l -> struct((i - 1) * {longest + 1} + l AS at, l AS l, substring(word, i, l) AS piece))))"""
-    parts = words.select("word", F.char_length("word").alias("n")).repartition(F.col("word"))
-    edges = parts.select("word", "n", F.explode(F.expr(spans)).alias("x")).select("word", "n", "x.at", "x.l", "x.piece")
-    edges = edges.join(table, "piece", "left").filter("id IS NOT NULL OR l = 1")
-    # the words are dealt out by word already: grouping needs no further exchange
-    grouped = edges.groupBy("word").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("at", F.struct("id", "score").alias("e")))).alias("edges"))
+    numbered = words.select("word", F.char_length("word").alias("n"), F.monotonically_increasing_id().alias("wid"))
+    starts = numbered.select("wid", "word", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    spans = starts.select("wid", "word", "n", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n") - F.col("i") + 1))).alias("l"))
+    pieces = spans.withColumn("piece", F.expr("substring(word, i, l)"))
+    matched = pieces.join(table, "piece", "left").filter("id IS NOT NULL OR l = 1")
+    return matched.select("wid", "n", F.when((F.col("i") == 1) & (F.col("l") == 1), F.col("word")).alias("first"), "word", "i", "l", "id", "score")
+
+
+def lattice(words: DataFrame, model: Model, *, style: str = "arrow") -> DataFrame:
+    """(word, ids array<int>) of distinct words that aren't empty."""
+    edges = _edges(words, model)
+    if style == "sql":
+        longest = model.longest
+        at = ((F.col("i") - 1) * (longest + 1) + F.col("l")).alias("at")
+        grouped = edges.groupBy("word").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct(at, F.struct("id", "score").alias("e")))).alias("edges"))
+        worst = min((s for _, _, s in model.pieces), default=0.0) - 10.0
+        folded = grouped.select("word", "n", (_merges(longest) if model.bpe else _viterbi(longest, worst)).alias("sym"))
+        if model.byte_ids:
+            fallback = "transform(sequence(1, octet_length(substring(word, x.s + 1, x.l))), b -> bytes[CAST(conv(substring(hex(substring(word, x.s + 1, x.l)), 2 * b - 1, 2), 16, 10) AS INT)])"
+            folded = folded.withColumn("bytes", F.array(*[F.lit(i) for i in model.byte_ids]))
+        else:
+            fallback = f"array({model.unknown})"
+        return folded.select("word", F.expr(f"CASE WHEN forall(sym, x -> x.id IS NOT NULL) THEN transform(sym, x -> x.id) ELSE flatten(transform(sym, x -> CASE WHEN x.id IS NULL THEN {fallback} ELSE array(x.id) END)) END").alias("ids"))
+
+    def folded_(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        fold = merge if model.bpe else best_path
+        held: list | None = None
+
+        def finish(word: str, n: int, starts: list, lengths: list, ids: list, scores: list):
+            if sum(1 for x in lengths if x == 1) != n:
+                raise RuntimeError("the edges of a word came apart")
+            return word, fold(word, n, starts, lengths, ids, scores, model)
+
+        for b in batches:
+            wid = np.asarray(b.column("wid"))
+            cuts = [0, *(np.flatnonzero(np.diff(wid)) + 1).tolist(), len(wid)]
+            wids, firsts, ns = wid.tolist(), b.column("first"), b.column("n").to_pylist()
+            columns = [b.column(c).to_pylist() for c in ("i", "l", "id", "score")]
+            out = []
+            for low, high in zip(cuts, cuts[1:]):
+                if low == high:
+                    continue
+                cut = [c[low:high] for c in columns]
+                if held is not None and held[0] == wids[low]:
+                    for mine, more in zip(held[3], cut):
+                        mine += more
+                    continue
+                if held is not None:
+                    out.append(finish(held[1], held[2], *held[3]))
+                held = [wids[low], firsts[low].as_py(), ns[low], cut]
+                if held[1] is None:
+                    raise RuntimeError("the edges of a word came apart")
+            if out:
+                yield pa.record_batch([pa.array([w for w, _ in out], pa.string()), pa.array([i for _, i in out], pa.list_(pa.int32()))], names=["word", "ids"])
+        if held is not None:
+            w, ids = finish(held[1], held[2], *held[3])
+            yield pa.record_batch([pa.array([w], pa.string()), pa.array([ids], pa.list_(pa.int32()))], names=["word", "ids"])
+
+    return edges.select("wid", "n", "first", "i", "l", "id", "score").mapInArrow(folded_, "word string, ids array<int>")
+
+
+def spelled(text: str, model: Model) -> list[int]:
+    """The ids of a character that is no piece."""
+    return [model.byte_ids[b] for b in text.encode("utf-8", "surrogatepass")] if model.byte_ids else [model.unknown]
+
+
+def merge(word: str, n: int, starts: list, lengths: list, ids: list, scores: list, model: Model) -> list[int]:
+    """Fold of a BPE model: join the neighbours whose joint piece scores highest, of equal ones the first, until none is a piece."""
+    import heapq
+
+    edge = {(i - 1, i - 1 + l): (s, d) for i, l, d, s in zip(starts, lengths, ids, scores) if d is not None}
+    after = list(range(1, n + 1))  # symbol at k reaches after[k]
+    before = list(range(-1, n))
+    heap = [(-e[0], k, k + 1, k + 2) for k in range(n - 1) if (e := edge.get((k, k + 2)))]
+    heapq.heapify(heap)
+    while heap:
+        _, a, b, c = heapq.heappop(heap)
+        if after[a] != b or b >= n or after[b] != c:
+            continue
+        after[a], after[b] = c, -1
+        if c < n:
+            before[c] = a
+            if e := edge.get((a, after[c])):
+                heapq.heappush(heap, (-e[0], a, c, after[c]))
+        p = before[a]
+        if p >= 0 and (e := edge.get((p, c))):
+            heapq.heappush(heap, (-e[0], p, a, c))
+    out, k = [], 0
+    while k < n:
+        e = edge.get((k, after[k]))
+        out += [e[1]] if e else spelled(word[k : after[k]], model)
+        k = after[k]
+    return out
+
+
+def best_path(word: str, n: int, starts: list, lengths: list, ids: list, scores: list, model: Model) -> list[int]:
+    """Viterbi fold of a unigram model: the best sum of scores to each position; of equal ones the shortest last piece."""
     worst = min((s for _, _, s in model.pieces), default=0.0) - 10.0
-    folded = grouped.select("word", "n", (_merges(longest) if model.bpe else _viterbi(longest, worst)).alias("sym"))
-    if model.byte_ids:
-        fallback = "transform(sequence(1, octet_length(substring(word, x.s + 1, x.l))), b -> bytes[CAST(conv(substring(hex(substring(word, x.s + 1, x.l)), 2 * b - 1, 2), 16, 10) AS INT)])"
-        folded = folded.withColumn("bytes", F.array(*[F.lit(i) for i in model.byte_ids]))
-    else:
-        fallback = f"array({model.unknown})"
-    return folded.select("word", F.expr(f"CASE WHEN forall(sym, x -> x.id IS NOT NULL) THEN transform(sym, x -> x.id) ELSE flatten(transform(sym, x -> CASE WHEN x.id IS NULL THEN {fallback} ELSE array(x.id) END)) END").alias("ids"))
+    ending: list[list] = [[] for _ in range(n + 1)]
+    for i, l, d, s in zip(starts, lengths, ids, scores):
+        ending[i - 1 + l].append((l, d, worst if d is None else s))
+    best: list = [(0.0, 0, None)] + [None] * n
+    for k in range(1, n + 1):
+        l, d, s = max(ending[k], key=lambda e: (best[k - e[0]][0] + e[2], -e[0]))
+        best[k] = (best[k - l][0] + s, l, d)
+    out, k = [], n
+    while k:
+        _, l, d = best[k]
+        out = ([d] if d is not None else spelled(word[k - l : k], model)) + out
+        k -= l
+    return out
 
 
 def _packed(words: DataFrame) -> DataFrame:
-    """(word, packed): the ids as little-endian 32-bit numbers, in hexadecimal until they reach Python."""
-    swapped = "concat_ws('', transform(ids, x -> concat(substring(lpad(hex(x), 8, '0'), 7, 2), substring(lpad(hex(x), 8, '0'), 5, 2), substring(lpad(hex(x), 8, '0'), 3, 2), substring(lpad(hex(x), 8, '0'), 1, 2))))"
-    return words.select("word", F.unhex(F.expr(swapped)).alias("packed"))
+    """``words`` with ``ids`` replaced by ``packed``: little-endian 32-bit numbers."""
+    byte = lambda n: f"substring(lpad(hex(x), 8, '0'), {n}, 2)"
+    swapped = f"concat_ws('', transform(ids, x -> concat({byte(7)}, {byte(5)}, {byte(3)}, {byte(1)})))"
+    return words.withColumn("packed", F.unhex(F.expr(swapped))).drop("ids")
+
+
+class Dictionary:
+    """Words' ids by hash, in parts that lie in the shared folder: sorted hashes, ends of the ids, ids."""
+
+    def __init__(self, folder: str) -> None:
+        from .common import mapped
+
+        self.folder, self.parts, self.hand, self.mapped = folder, {}, {}, mapped
+
+    def _part(self, k: int):
+        import numpy as np
+
+        if k not in self.parts:
+            data = self.mapped(f"{self.folder}/part-{k}")
+            if data is None:
+                self.parts[k] = None
+            else:
+                n = int(np.frombuffer(data, "<u8", 1)[0])
+                self.parts[k] = np.frombuffer(data, "<u8", n, 8), np.frombuffer(data, "<u4", n + 1, 8 + 8 * n), memoryview(data)[8 + 8 * n + 4 * (n + 1) :]
+        return self.parts[k]
+
+    def look_up(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of those words that the dictionary holds."""
+        import numpy as np
+        from xxhash import xxh3_64_intdigest
+
+        out = {w: self.hand[w] for w in words if w in self.hand}
+        rest = [w for w in words if w not in out]
+        if not rest:
+            return out
+        h = np.fromiter((xxh3_64_intdigest(w) for w in rest), np.uint64, len(rest))
+        order = np.argsort(h)
+        edges = np.searchsorted(h[order] >> np.uint64(64 - PART_BITS), np.arange((1 << PART_BITS) + 1, dtype=np.uint64))
+        for k in range(1 << PART_BITS):
+            mine = order[edges[k] : edges[k + 1]]
+            if not len(mine) or (part := self._part(k)) is None:
+                continue
+            keys, ends, ids = part
+            at = np.minimum(np.searchsorted(keys, h[mine]), len(keys) - 1)
+            for j, a, hit in zip(mine.tolist(), at.tolist(), (keys[at] == h[mine]).tolist()):
+                if hit:
+                    out[rest[j]] = bytes(ids[ends[a] : ends[a + 1]])
+        if len(self.hand) < AT_HAND:
+            self.hand.update(out)
+        return out
+
+
+def _build(words: DataFrame, folder: str) -> None:
+    """Write the dictionary of (word, packed); one file per part, whole or not at all."""
+
+    def hashed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from xxhash import xxh3_64_intdigest
+
+        for b in batches:
+            h = [xxh3_64_intdigest(w.as_py()) for w in b.column("word")]
+            yield pa.record_batch([pa.array([x >> (64 - PART_BITS) for x in h], pa.int32()), pa.array([x - (1 << 64) if x >> 63 else x for x in h], pa.int64()), b.column("packed")], names=["part", "h", "packed"])
+
+    def written(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from .common import put
+
+        hashes: dict[int, list] = {}
+        packed: dict[int, list] = {}
+        for b in batches:
+            part = np.asarray(b.column("part"))
+            h, values = np.asarray(b.column("h")).view(np.uint64), b.column("packed").to_pylist()
+            for k in np.unique(part).tolist():
+                at = np.flatnonzero(part == k)
+                hashes.setdefault(k, []).append(h[at])
+                packed.setdefault(k, []).extend(values[i] for i in at.tolist())
+        for k, chunks in hashes.items():
+            h = np.concatenate(chunks)
+            order = np.argsort(h)
+            ids = [packed[k][i] for i in order.tolist()]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("<u4")
+            put(f"{folder}/part-{k}", np.uint64(len(h)).tobytes() + h[order].astype("<u8").tobytes() + ends.tobytes() + b"".join(ids))
+        yield pa.record_batch([pa.array([len(hashes)], pa.int32())], names=["parts"])
+
+    dealt = words.select("word", "packed").mapInArrow(hashed, "part int, h long, packed binary").repartition(1 << PART_BITS, "part")
+    materialise(dealt.mapInArrow(written, "parts int"), "dictionary")
 
 
 def decode_ids(ids, model: Model) -> str:
@@ -204,7 +391,7 @@ def decode_ids(ids, model: Model) -> str:
     return out[1:] if model.prefix and out[:1] == " " else out
 
 
-def encode(docs: DataFrame, model: Model, *, text_col: str = "text", dictionary: int = DICTIONARY, sampled: float = SAMPLED) -> DataFrame:
+def encode(docs: DataFrame, model: Model, *, text_col: str = "text", dictionary: int = DICTIONARY) -> DataFrame:
     """``docs`` with ``tokens``, the ids of the text as a binary of little-endian 32-bit numbers (null for a null text)."""
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -223,44 +410,43 @@ def encode(docs: DataFrame, model: Model, *, text_col: str = "text", dictionary:
         for b in batches:
             for t in b.column(0):
                 seen.update(split(t.as_py() or ""))
-            if len(seen) > 200_000:
-                yield flush()
-                seen.clear()
+                if len(seen) > 200_000:
+                    yield flush()
+                    seen.clear()
         yield flush()
 
-    some = docs.select(text_col).sample(sampled, 7).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = materialise(some.orderBy(F.desc("n"), "word").limit(dictionary).select("word"), "top-words")
-    common = {r["word"]: bytes(r["packed"]) for r in _packed(lattice(top, model)).collect()}  # at most ``dictionary`` words
-    shared = spark.sparkContext.broadcast(common)
+    words = materialise(docs.select(text_col).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("rows")), "words")
+    # dealt anew: the words of a partition are all there is to explode there
+    encoded = materialise(_packed(lattice(words.select("word").repartition(F.col("word")), model)), "encoded-words")
+    folder = fresh(spark, "dictionary")
+    whole = words.count() <= dictionary
+    known = encoded
+    if not whole:
+        top = materialise(words.orderBy(F.desc("rows"), "word").limit(dictionary).select("word"), "top-words")
+        known = encoded.join(top, "word", "left_semi")
+    _build(known, folder)
+    if whole:
+        return _fill(docs.withColumn("_o", F.lit(None).cast("array<struct<word:string,packed:binary>>")), docs, text_col, False, split, folder)
 
     keyed = docs.withColumns({"_i": F.xxhash64(F.col(text_col)), "_n": F.char_length(text_col)})
 
     def others(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known = shared.value
+        table = Dictionary(folder)
         for b in batches:
-            keys, sizes, words = [], [], []
-            for i, n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                found = [w for w in set(split(t.as_py() or "")) if w not in known]
-                keys += [i] * len(found)
-                sizes += [n] * len(found)
-                words += found
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(words, pa.string())], names=["_i", "_n", "word"])
-
-    pairs = materialise(keyed.select("_i", "_n", text_col).mapInArrow(others, "_i long, _n int, word string"), "other-words")
+            found = [set(split(t.as_py() or "")) for t in b.column(2)]
+            held = table.look_up(set().union(*found))
+            left = [[w for w in f if w not in held] for f in found]
+            keys = [k for k, f in zip(b.column(0).to_pylist(), left) for _ in f]
+            sizes = [k for k, f in zip(b.column(1).to_pylist(), left) for _ in f]
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array([w for f in left for w in f], pa.string())], names=["_i", "_n", "word"])
+
+    pairs = materialise(keyed.select("_i", "_n", text_col).dropDuplicates(["_i", "_n"]).mapInArrow(others, "_i long, _n int, word string"), "other-words")
     counts = pairs.groupBy("word").agg(F.count("*").alias("rows"))
-    if pairs.isEmpty():
-        joined = docs.withColumn("_o", F.lit(None).cast("array<struct<word:string,packed:binary>>"))
-        squeezed = False
-    else:
-        numbered = materialise(counts, "counts")
-        encoded = materialise(_packed(lattice(numbered.select("word"), model)).join(numbered, "word"), "encoded-words")
-        attached = attach(pairs, encoded, "word", "rows", ["packed"], F.col("_i"))
-        per_text = materialise(attached.groupBy("_i", "_n").agg(F.collect_list(F.struct("word", "packed")).alias("_o")), "words-of-texts")
-        joined = _squeeze(keyed, text_col).join(per_text, ["_i", "_n"], "left")
-        squeezed = True
-    return _fill(joined, docs, text_col, squeezed, split, shared)
+    attached = attach(pairs, encoded.join(counts, "word"), "word", "rows", ["packed"], F.col("_i"))
+    per_text = materialise(attached.groupBy("_i", "_n").agg(F.collect_list(F.struct("word", "packed")).alias("_o")), "words-of-texts")
+    return _fill(_squeeze(keyed, text_col).join(per_text, ["_i", "_n"], "left"), docs, text_col, True, split, folder)
 
 
 def _squeeze(docs: DataFrame, text_col: str) -> DataFrame:
@@ -280,7 +466,7 @@ def _squeeze(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.mapInArrow(squeezed, schema)
 
 
-def _fill(joined: DataFrame, docs: DataFrame, text_col: str, squeezed: bool, split: Splitter, shared) -> DataFrame:
+def _fill(joined: DataFrame, docs: DataFrame, text_col: str, squeezed: bool, split: Splitter, folder: str) -> DataFrame:
     columns = docs.columns
     schema = StructType(list(docs.schema.fields)).add("tokens", BinaryType())
 
@@ -288,23 +474,17 @@ def _fill(joined: DataFrame, docs: DataFrame, text_col: str, squeezed: bool, spl
         import pyarrow as pa
         import zstandard
 
-        known, tool = shared.value, zstandard.ZstdDecompressor()
+        table, tool = Dictionary(folder), zstandard.ZstdDecompressor()
         for b in batches:
-            texts, tokens = [], []
-            for t, o in zip(b.column(text_col), b.column("_o")):
-                text = t.as_py()
-                if squeezed and text is not None:
-                    text = tool.decompress(text).decode("utf-8", "surrogatepass")
-                texts.append(text)
-                if text is None:
-                    tokens.append(None)
-                    continue
-                own = o.as_py()
-                if own:
-                    own = {x["word"]: x["packed"] for x in own}
-                    tokens.append(b"".join([known[w] if w in known else own[w] for w in split(text)]))
-                else:
-                    tokens.append(b"".join([known[w] for w in split(text)]))
+            texts = b.column(text_col).to_pylist()
+            if squeezed:
+                texts = [None if t is None else tool.decompress(t).decode("utf-8", "surrogatepass") for t in texts]
+            words = [None if t is None else split(t) for t in texts]
+            known = table.look_up({w for f in words if f for w in f})
+            for x in b.column("_o"):
+                if x.is_valid:
+                    known.update((y["word"], y["packed"]) for y in x.as_py())
+            tokens = [None if f is None else b"".join([known[w] for w in f]) for f in words]
             data = [pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in columns]
             yield pa.record_batch([*data, pa.array(tokens, pa.binary())], names=[*columns, "tokens"])
 
