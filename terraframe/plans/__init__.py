@@ -1,3 +1,3 @@
 """Registered queries; importing this package fills the registry."""
 
-from . import crs_queries, raster_queries, vector_queries  # noqa: F401
+from . import crs_queries, raster_queries, source_queries, vector_queries  # noqa: F401

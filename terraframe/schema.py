@@ -24,3 +24,33 @@ OVERVIEW = "struct<level:int,w:int,h:int,decx:double,decy:double>"
 RASTER_LAYER = f"path string, source_kind string, layer string, crs {CRS}, bounds {ENVELOPE}, width int, height int, band_count int, geotransform {AFFINE}, pixel_anchor string, bands array<{BAND}>, overviews array<{OVERVIEW}>, color_model string, is_tiled boolean"
 
 KINDS = ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon", "GeometryCollection")
+
+
+def arrow_schema(fields: str):
+    """The pyarrow schema of a field list as above; tasks have no Spark session to parse it."""
+    import pyarrow as pa
+
+    plain = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+    def split(text: str) -> list[str]:
+        depth, start, out = 0, 0, []
+        for i, c in enumerate(text):
+            depth += (c == "<") - (c == ">")
+            if c == "," and not depth:
+                out.append(text[start:i])
+                start = i + 1
+        return [*out, text[start:]]
+
+    def kind(text: str):
+        text = text.strip()
+        if text.startswith("array<"):
+            return pa.list_(kind(text[6:-1]))
+        if text.startswith("struct<"):
+            return pa.struct([field(f, ":") for f in split(text[7:-1])])
+        return plain[text]
+
+    def field(text: str, mark: str):
+        name, _, of = text.strip().partition(mark)
+        return pa.field(name.strip(), kind(of))
+
+    return pa.schema([field(f, " ") for f in split(fields)])

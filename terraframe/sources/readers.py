@@ -87,19 +87,12 @@ def _geopackage_rows(part: Part, extent) -> Iterator[tuple]:
 _ROWS = {"geojson": _geojson_rows, "shapefile": _shapefile_rows, "geopackage": _geopackage_rows}
 
 
-def _arrow(schema: str):
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema))
-
-
 def _batches(rows: Iterator[dict], schema: str):
     import itertools
 
     import pyarrow as pa
 
-    arrow = _arrow(schema)
+    arrow = S.arrow_schema(schema)
     while chunk := list(itertools.islice(rows, BATCH_ROWS)):
         yield pa.RecordBatch.from_pylist(chunk, schema=arrow)
 
