@@ -138,9 +138,14 @@ class Splitter:
         return [w for w in marked.replace("\n", " \n ").split(" ") if w]
 
 
+def _stride(longest: int) -> int:
+    """Edges are keyed by start and length; two neighbours together may be twice as long as a piece."""
+    return 2 * longest + 1
+
+
 def _merges(longest: int) -> Column:
     """Fold of the edges of a word into (start, length, id) by the merges of a BPE model."""
-    joint = f"transform(sequence(1, size(a.sym) - 1), i -> transform(array(struct(a.sym[i - 1] AS p, a.sym[i] AS q)), x -> struct(element_at(edges, x.p.s * {longest + 1} + x.p.l + x.q.l) AS e, -i AS at))[0])"
+    joint = f"transform(sequence(1, size(a.sym) - 1), i -> transform(array(struct(a.sym[i - 1] AS p, a.sym[i] AS q)), x -> struct(element_at(edges, x.p.s * {_stride(longest)} + x.p.l + x.q.l) AS e, -i AS at))[0])"
     step = f"""
       CASE WHEN a.done OR size(a.sym) < 2 THEN struct(true AS done, a.sym AS sym)
       ELSE transform(array(array_max(transform({joint}, x -> struct(x.e.score AS score, x.at AS at, x.e.id AS id)))), b ->
@@ -148,7 +153,7 @@ def _merges(longest: int) -> Column:
         ELSE struct(false AS done, concat(slice(a.sym, 1, -b.at - 1),
           array(struct(a.sym[-b.at - 1].s AS s, a.sym[-b.at - 1].l + a.sym[-b.at].l AS l, b.id AS id)),
           slice(a.sym, -b.at + 2, size(a.sym))) AS sym) END)[0] END"""
-    start = f"transform(sequence(0, n - 1), i -> struct(i AS s, 1 AS l, element_at(edges, i * {longest + 1} + 1).id AS id))"
+    start = f"transform(sequence(0, n - 1), i -> struct(i AS s, 1 AS l, element_at(edges, i * {_stride(longest)} + 1).id AS id))"
     return F.expr(f"aggregate(sequence(1, n), struct(false AS done, {start} AS sym), (a, k) -> {step}, a -> a.sym)")
 
 
@@ -156,7 +161,7 @@ def _viterbi(longest: int, worst: float) -> Column:
     """Fold of the edges of a word over its positions into the path with the best sum of scores; of equal sums the shortest last piece."""
     best = f"""
       array_max(transform(sequence(1, least({longest}, k)), l ->
-        transform(array(element_at(edges, (k - l) * {longest + 1} + l)), e ->
+        transform(array(element_at(edges, (k - l) * {_stride(longest)} + l)), e ->
           CASE WHEN e.id IS NOT NULL THEN struct(a[k - l].score + e.score AS score, -l AS l, e.id AS id)
                WHEN l = 1 THEN struct(a[k - 1].score + {worst!r}D AS score, -1 AS l, CAST(NULL AS INT) AS id) END)[0]))"""
     forward = f"aggregate(sequence(1, n), array(struct(0D AS score, 0 AS l, CAST(NULL AS INT) AS id)), (a, k) -> concat(a, array({best})))"
@@ -184,7 +189,7 @@ def lattice(words: DataFrame, model: Model, *, style: str = "arrow") -> DataFram
     edges = _edges(words, model)
     if style == "sql":
         longest = model.longest
-        at = ((F.col("i") - 1) * (longest + 1) + F.col("l")).alias("at")
+        at = ((F.col("i") - 1) * _stride(longest) + F.col("l")).alias("at")
         grouped = edges.groupBy("word").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct(at, F.struct("id", "score").alias("e")))).alias("edges"))
         worst = min((s for _, _, s in model.pieces), default=0.0) - 10.0
         folded = grouped.select("word", "n", (_merges(longest) if model.bpe else _viterbi(longest, worst)).alias("sym"))

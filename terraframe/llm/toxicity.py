@@ -49,6 +49,8 @@ LIFT = 20.0
 COVERED = 0.7
 #: Residual correlation beyond which two voters count as repeating each other.
 CORRELATED = 0.3
+#: Correlation of raw votes beyond which two voters are one from the start.
+SAME = 0.9
 WORD_RX = re.compile(r"[^\W\d_]+")
 
 
@@ -57,17 +59,24 @@ def parts(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
 
 
+def kinship(words: list[str]) -> int:
+    """A number that near copies mostly share: the least hash of five words in a row."""
+    from xxhash import xxh3_64_intdigest
+
+    return min((xxh3_64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), default=0)
+
+
 def mine(sample: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
     """(terms, doubtful): words and beginnings that toxic sample texts use far more often, strongest first, and lexicon words that they don't.
 
-    Texts with the same longest word count as one: copies of a text would else make all its words look toxic.
+    Texts of one kinship count as one: copies of a text would else make all its words look toxic.
     A beginning gives way to a longer one that covers most of its toxic texts and fewer others.
     """
-    seen: dict[int, dict[str, set[str]]] = {0: {}, 1: {}}
-    size: dict[int, set[str]] = {0: set(), 1: set()}
+    seen: dict[int, dict[str, set[int]]] = {0: {}, 1: {}}
+    size: dict[int, set[int]] = {0: set(), 1: set()}
     for text, y in sample:
-        words = set(WORD_RX.findall(text.lower()))
-        kin = max(words, key=lambda w: (len(w), w), default="")
+        found = WORD_RX.findall(text.lower())
+        words, kin = set(found), kinship(found)
         size[y].add(kin)
         for t in {t for w in words for t in parts(w)}:
             seen[y].setdefault(t, set()).add(kin)
@@ -123,14 +132,14 @@ def label_model(votes, start, *, rounds: int = 100):
         rates = np.stack([np.einsum("n,nvk->vk", q_ + 0.0, kinds) + 0.5 for q_ in (1 - q, q)], axis=1)
         rates /= rates.sum(axis=2, keepdims=True)
         share = float(np.clip(q.mean(), 1e-3, 1 - 1e-3))
-        if step in (5, 20):
-            # votes beyond what the class explains: voters that still move together are one voter
+        if step in (0, 5, 20):
+            # at first voters that vote as one; later also those that still move together beyond what the class explains
             expected = (1 - q)[:, None] * (rates[:, 0, 2] - rates[:, 0, 0]) + q[:, None] * (rates[:, 1, 2] - rates[:, 1, 0])
-            left = votes - expected
+            left = votes - (expected if step else votes.mean(axis=0))
             spread = np.sqrt((left**2).mean(axis=0)) + 1e-9
             corr = np.abs((left.T @ left) / len(left) / np.outer(spread, spread))
             np.fill_diagonal(corr, 1.0)
-            weight = 1 / np.where(corr > CORRELATED, corr, 0).sum(axis=1)
+            weight = np.minimum(weight, 1 / np.where(corr > (CORRELATED if step else SAME), corr, 0).sum(axis=1))
         evidence = np.einsum("nvk,vk,v->n", kinds, np.log(rates[:, 1] / rates[:, 0]), weight)
         now = 1 / (1 + np.exp(-np.clip(evidence + np.log(share / (1 - share)), -30, 30)))
         if step > 20 and np.abs(now - q).max() < 1e-6:
