@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from .common import arrow_batches, attach, fresh, materialise
+from .common import arrow_batches, attach, fresh, materialise, remove
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -200,44 +200,52 @@ def lattice(words: DataFrame, model: Model, *, style: str = "arrow") -> DataFram
             fallback = f"array({model.unknown})"
         return folded.select("word", F.expr(f"CASE WHEN forall(sym, x -> x.id IS NOT NULL) THEN transform(sym, x -> x.id) ELSE flatten(transform(sym, x -> CASE WHEN x.id IS NULL THEN {fallback} ELSE array(x.id) END)) END").alias("ids"))
 
+    levels = {v: k for k, v in enumerate(sorted({s for _, _, s in model.pieces}, reverse=True))}
+    ranks = F.broadcast(words.sparkSession.createDataFrame([(i, levels[s]) for _, i, s in model.pieces], "id int, rank int"))
+    stride = _stride(model.longest)
+    at = (F.col("i").cast("long") - 1) * stride + F.col("l")
+    # an edge is two numbers: where it lies, and its rank by score with its id; -1 for a character that is no piece
+    value = F.coalesce(F.col("rank").cast("long") * (1 << 24) + F.col("id"), F.lit(-1).cast("long"))
+    stream = edges.join(ranks, "id", "left").select("wid", "n", "first", at.alias("at"), value.alias("value"))
+    scores = sorted(levels, reverse=True)
+
     def folded_(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        fold = merge if model.bpe else best_path
         held: list | None = None
 
-        def finish(word: str, n: int, starts: list, lengths: list, ids: list, scores: list):
-            if sum(1 for x in lengths if x == 1) != n:
+        def finish(word: str, n: int, at: list, value: list):
+            edge = dict(zip(at, value))
+            if not all(k in edge for k in range(1, n * stride, stride)):
                 raise RuntimeError("the edges of a word came apart")
-            return word, fold(word, n, starts, lengths, ids, scores, model)
+            return word, merge(word, n, edge, stride, model) if model.bpe else best_path(word, n, edge, stride, scores, model)
 
         for b in batches:
             wid = np.asarray(b.column("wid"))
-            cuts = [0, *(np.flatnonzero(np.diff(wid)) + 1).tolist(), len(wid)]
-            wids, firsts, ns = wid.tolist(), b.column("first"), b.column("n").to_pylist()
-            columns = [b.column(c).to_pylist() for c in ("i", "l", "id", "score")]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(wid)) + 1, [len(wid)]]) if len(wid) else np.zeros(1, np.int64)
+            heads = cuts[:-1]
+            wids, ns = wid[heads].tolist(), np.asarray(b.column("n"))[heads].tolist()
+            firsts = b.column("first").take(pa.array(heads)).to_pylist()
+            places, values, cuts = np.asarray(b.column("at")).tolist(), np.asarray(b.column("value")).tolist(), cuts.tolist()
             out = []
-            for low, high in zip(cuts, cuts[1:]):
-                if low == high:
-                    continue
-                cut = [c[low:high] for c in columns]
-                if held is not None and held[0] == wids[low]:
-                    for mine, more in zip(held[3], cut):
-                        mine += more
+            for k, (low, high) in enumerate(zip(cuts, cuts[1:])):
+                if held is not None and held[0] == wids[k]:
+                    held[3] += places[low:high]
+                    held[4] += values[low:high]
                     continue
                 if held is not None:
-                    out.append(finish(held[1], held[2], *held[3]))
-                held = [wids[low], firsts[low].as_py(), ns[low], cut]
+                    out.append(finish(*held[1:]))
+                held = [wids[k], firsts[k], ns[k], places[low:high], values[low:high]]
                 if held[1] is None:
                     raise RuntimeError("the edges of a word came apart")
             if out:
                 yield pa.record_batch([pa.array([w for w, _ in out], pa.string()), pa.array([i for _, i in out], pa.list_(pa.int32()))], names=["word", "ids"])
         if held is not None:
-            w, ids = finish(held[1], held[2], *held[3])
+            w, ids = finish(*held[1:])
             yield pa.record_batch([pa.array([w], pa.string()), pa.array([ids], pa.list_(pa.int32()))], names=["word", "ids"])
 
-    return edges.select("wid", "n", "first", "i", "l", "id", "score").mapInArrow(folded_, "word string, ids array<int>")
+    return stream.mapInArrow(folded_, "word string, ids array<int>")
 
 
 def spelled(text: str, model: Model) -> list[int]:
@@ -245,15 +253,57 @@ def spelled(text: str, model: Model) -> list[int]:
     return [model.byte_ids[b] for b in text.encode("utf-8", "surrogatepass")] if model.byte_ids else [model.unknown]
 
 
-def merge(word: str, n: int, starts: list, lengths: list, ids: list, scores: list, model: Model) -> list[int]:
-    """Fold of a BPE model: join the neighbours whose joint piece scores highest, of equal ones the first, until none is a piece."""
+_ID = (1 << 24) - 1
+#: Words longer than this are merged from a heap instead of a scan of all pairs.
+SCANNED = 256
+_NONE = 1 << 60
+
+
+def _ids(word: str, bounds: list[int], edge: dict, stride: int, model: Model) -> list[int]:
+    out = []
+    for a, b in zip(bounds, bounds[1:]):
+        v = edge[a * stride + b - a]
+        if v >= 0:
+            out.append(v & _ID)
+        else:
+            out += spelled(word[a:b], model)
+    return out
+
+
+def merge(word: str, n: int, edge: dict, stride: int, model: Model) -> list[int]:
+    """Fold of a BPE model: join the neighbours whose joint piece scores highest, of equal ones the first, until none is a piece.
+
+    ``edge``: start * stride + length -> rank by score, then the id.
+    """
+    get = edge.get
+    if n <= SCANNED:
+        bounds = list(range(n + 1))
+        pairs = [get(k * stride + 2, _NONE) >> 24 for k in range(n - 1)]
+        none = _NONE >> 24
+        while pairs:
+            low = min(pairs)
+            if low == none:
+                break
+            k = pairs.index(low)
+            del bounds[k + 1], pairs[k]
+            if k:
+                pairs[k - 1] = get(bounds[k - 1] * stride + bounds[k + 1] - bounds[k - 1], _NONE) >> 24
+            if k < len(pairs):
+                pairs[k] = get(bounds[k] * stride + bounds[k + 2] - bounds[k], _NONE) >> 24
+        return _ids(word, bounds, edge, stride, model)
+
     import heapq
 
-    edge = {(i - 1, i - 1 + l): (s, d) for i, l, d, s in zip(starts, lengths, ids, scores) if d is not None}
-    after = list(range(1, n + 1))  # symbol at k reaches after[k]
-    before = list(range(-1, n))
-    heap = [(-e[0], k, k + 1, k + 2) for k in range(n - 1) if (e := edge.get((k, k + 2)))]
-    heapq.heapify(heap)
+    longest = (stride - 1) // 2
+    after, before = list(range(1, n + 1)), list(range(-1, n))
+    heap: list = []
+
+    def offer(a: int, b: int, c: int) -> None:
+        if c - a <= longest and (v := get(a * stride + c - a)) is not None:
+            heapq.heappush(heap, (v >> 24, a, b, c))
+
+    for k in range(n - 1):
+        offer(k, k + 1, k + 2)
     while heap:
         _, a, b, c = heapq.heappop(heap)
         if after[a] != b or b >= n or after[b] != c:
@@ -261,35 +311,30 @@ def merge(word: str, n: int, starts: list, lengths: list, ids: list, scores: lis
         after[a], after[b] = c, -1
         if c < n:
             before[c] = a
-            if e := edge.get((a, after[c])):
-                heapq.heappush(heap, (-e[0], a, c, after[c]))
-        p = before[a]
-        if p >= 0 and (e := edge.get((p, c))):
-            heapq.heappush(heap, (-e[0], p, a, c))
-    out, k = [], 0
-    while k < n:
-        e = edge.get((k, after[k]))
-        out += [e[1]] if e else spelled(word[k : after[k]], model)
-        k = after[k]
-    return out
-
-
-def best_path(word: str, n: int, starts: list, lengths: list, ids: list, scores: list, model: Model) -> list[int]:
-    """Viterbi fold of a unigram model: the best sum of scores to each position; of equal ones the shortest last piece."""
-    worst = min((s for _, _, s in model.pieces), default=0.0) - 10.0
-    ending: list[list] = [[] for _ in range(n + 1)]
-    for i, l, d, s in zip(starts, lengths, ids, scores):
-        ending[i - 1 + l].append((l, d, worst if d is None else s))
-    best: list = [(0.0, 0, None)] + [None] * n
+            offer(a, c, after[c])
+        if before[a] >= 0:
+            offer(before[a], a, c)
+    bounds = [0]
+    while bounds[-1] < n:
+        bounds.append(after[bounds[-1]])
+    return _ids(word, bounds, edge, stride, model)
+
+
+def best_path(word: str, n: int, edge: dict, stride: int, scores: list[float], model: Model) -> list[int]:
+    """Viterbi fold of a unigram model: the best sum of scores to each position; of equal sums the shortest last piece."""
+    worst, longest = min(scores, default=0.0) - 10.0, (stride - 1) // 2
+    best: list[tuple[float, int]] = [(0.0, 0)]
     for k in range(1, n + 1):
-        l, d, s = max(ending[k], key=lambda e: (best[k - e[0]][0] + e[2], -e[0]))
-        best[k] = (best[k - l][0] + s, l, d)
-    out, k = [], n
-    while k:
-        _, l, d = best[k]
-        out = ([d] if d is not None else spelled(word[k - l : k], model)) + out
-        k -= l
-    return out
+        options = []
+        for l in range(1, min(longest, k) + 1):
+            v = edge.get((k - l) * stride + l)
+            if v is not None:
+                options.append((best[k - l][0] + (worst if v < 0 else scores[v >> 24]), -l))
+        best.append(max(options))
+    bounds = [n]
+    while bounds[-1]:
+        bounds.append(bounds[-1] + best[bounds[-1]][1])
+    return _ids(word, bounds[::-1], edge, stride, model)
 
 
 def _packed(words: DataFrame) -> DataFrame:
@@ -420,9 +465,10 @@ def encode(docs: DataFrame, model: Model, *, text_col: str = "text", dictionary:
                     seen.clear()
         yield flush()
 
-    words = materialise(docs.select(text_col).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("rows")), "words")
+    at_words, at_encoded = fresh(spark, "words"), fresh(spark, "encoded-words")
+    words = materialise(docs.select(text_col).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("rows")), "words", path=at_words)
     # dealt anew: the words of a partition are all there is to explode there
-    encoded = materialise(_packed(lattice(words.select("word").repartition(F.col("word")), model)), "encoded-words")
+    encoded = materialise(_packed(lattice(words.select("word").repartition(F.col("word")), model)), "encoded-words", path=at_encoded)
     folder = fresh(spark, "dictionary")
     whole = words.count() <= dictionary
     known = encoded
@@ -431,6 +477,8 @@ def encode(docs: DataFrame, model: Model, *, text_col: str = "text", dictionary:
         known = encoded.join(top, "word", "left_semi")
     _build(known, folder)
     if whole:
+        remove(spark, at_words)
+        remove(spark, at_encoded)
         return _fill(docs.withColumn("_o", F.lit(None).cast("array<struct<word:string,packed:binary>>")), docs, text_col, False, split, folder)
 
     keyed = docs.withColumns({"_i": F.xxhash64(F.col(text_col)), "_n": F.char_length(text_col)})
@@ -505,7 +553,8 @@ def decode(docs: DataFrame, model: Model, *, tokens_col: str = "tokens", out_col
         import numpy as np
         import pyarrow as pa
 
-        data = [bytes([int(p[3:5], 16)]) if k == _BYTE else p.replace(SPACE, " ").encode() for p, k in zip(model.names, model.kinds)]
+        data = np.empty(len(model.names), object)
+        data[:] = [bytes([int(p[3:5], 16)]) if k == _BYTE else p.replace(SPACE, " ").encode() for p, k in zip(model.names, model.kinds)]
         for b in batches:
             out = []
             for x in b.column(tokens_col):
@@ -513,7 +562,7 @@ def decode(docs: DataFrame, model: Model, *, tokens_col: str = "tokens", out_col
                 if x is None:
                     out.append(None)
                     continue
-                text = b"".join([data[i] for i in np.frombuffer(x, "<i4").tolist()]).decode("utf-8", "replace")
+                text = b"".join(data[np.frombuffer(x, "<i4")].tolist()).decode("utf-8", "replace")
                 out.append(text[1:] if model.prefix and text[:1] == " " else text)
             yield pa.record_batch([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, out_col])
 
