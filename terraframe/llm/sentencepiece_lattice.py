@@ -184,8 +184,8 @@ def _edges(words: DataFrame, model: Model) -> DataFrame:
     return matched.select("wid", "n", F.when((F.col("i") == 1) & (F.col("l") == 1), F.col("word")).alias("first"), "word", "i", "l", "id", "score")
 
 
-def lattice(words: DataFrame, model: Model, *, style: str = "arrow") -> DataFrame:
-    """(word, ids array<int>) of distinct words that aren't empty."""
+def lattice(words: DataFrame, model: Model, *, style: str = "arrow", packed: bool = False) -> DataFrame:
+    """(word, ids array<int>) of distinct words that aren't empty; ``packed`` (style arrow) gives little-endian 32-bit numbers as a binary instead."""
     edges = _edges(words, model)
     if style == "sql":
         longest = model.longest
@@ -208,6 +208,7 @@ def lattice(words: DataFrame, model: Model, *, style: str = "arrow") -> DataFram
     value = F.coalesce(F.col("rank").cast("long") * (1 << 24) + F.col("id"), F.lit(-1).cast("long"))
     stream = edges.join(ranks, "id", "left").select("wid", "n", "first", at.alias("at"), value.alias("value"))
     scores = sorted(levels, reverse=True)
+    name = "packed" if packed else "ids"
 
     def folded_(batches: Iterator) -> Iterator:
         import numpy as np
@@ -219,7 +220,11 @@ def lattice(words: DataFrame, model: Model, *, style: str = "arrow") -> DataFram
             edge = dict(zip(at, value))
             if not all(k in edge for k in range(1, n * stride, stride)):
                 raise RuntimeError("the edges of a word came apart")
-            return word, merge(word, n, edge, stride, model) if model.bpe else best_path(word, n, edge, stride, scores, model)
+            ids = merge(word, n, edge, stride, model) if model.bpe else best_path(word, n, edge, stride, scores, model)
+            return word, struct.pack(f"<{len(ids)}i", *ids) if packed else ids
+
+        def batch(out: list):
+            return pa.record_batch([pa.array([w for w, _ in out], pa.string()), pa.array([i for _, i in out], pa.binary() if packed else pa.list_(pa.int32()))], names=["word", name])
 
         for b in batches:
             wid = np.asarray(b.column("wid"))
@@ -240,12 +245,11 @@ def lattice(words: DataFrame, model: Model, *, style: str = "arrow") -> DataFram
                 if held[1] is None:
                     raise RuntimeError("the edges of a word came apart")
             if out:
-                yield pa.record_batch([pa.array([w for w, _ in out], pa.string()), pa.array([i for _, i in out], pa.list_(pa.int32()))], names=["word", "ids"])
+                yield batch(out)
         if held is not None:
-            w, ids = finish(*held[1:])
-            yield pa.record_batch([pa.array([w], pa.string()), pa.array([ids], pa.list_(pa.int32()))], names=["word", "ids"])
+            yield batch([finish(*held[1:])])
 
-    return stream.mapInArrow(folded_, "word string, ids array<int>")
+    return stream.mapInArrow(folded_, f"word string, {name} {'binary' if packed else 'array<int>'}")
 
 
 def spelled(text: str, model: Model) -> list[int]:
@@ -337,13 +341,6 @@ def best_path(word: str, n: int, edge: dict, stride: int, scores: list[float], m
     return _ids(word, bounds[::-1], edge, stride, model)
 
 
-def _packed(words: DataFrame) -> DataFrame:
-    """``words`` with ``ids`` replaced by ``packed``: little-endian 32-bit numbers."""
-    byte = lambda n: f"substring(lpad(hex(x), 8, '0'), {n}, 2)"
-    swapped = f"concat_ws('', transform(ids, x -> concat({byte(7)}, {byte(5)}, {byte(3)}, {byte(1)})))"
-    return words.withColumn("packed", F.unhex(F.expr(swapped))).drop("ids")
-
-
 class Dictionary:
     """Words' ids by hash, in parts that lie in the shared folder: sorted hashes, ends of the ids, ids."""
 
@@ -468,7 +465,7 @@ def encode(docs: DataFrame, model: Model, *, text_col: str = "text", dictionary:
     at_words, at_encoded = fresh(spark, "words"), fresh(spark, "encoded-words")
     words = materialise(docs.select(text_col).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("rows")), "words", path=at_words)
     # dealt anew: the words of a partition are all there is to explode there
-    encoded = materialise(_packed(lattice(words.select("word").repartition(F.col("word")), model)), "encoded-words", path=at_encoded)
+    encoded = materialise(lattice(words.select("word").repartition(F.col("word")), model, packed=True), "encoded-words", path=at_encoded)
     folder = fresh(spark, "dictionary")
     whole = words.count() <= dictionary
     known = encoded
