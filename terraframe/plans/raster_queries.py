@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import raster as R
 from ..operators import rasters, viewport
 from .registry import query
-from .views import PARCELS, PIXELS, PLACES, parcels, pixels, places, table
+from .views import PIXELS, PLACES, pixels, places, table
 
 #: An affine transform with rotation, as Spark columns and in SQL.
 _T = (100.0, 2.0, 0.25, 200.0, -0.5, -3.0)

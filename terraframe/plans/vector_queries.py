@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import envelope as E, geometry as G, probe as P
 from ..operators import flatten, index, layers
 from .registry import query
-from .views import PARCELS, PLACES, VERTICES, parcels, places, routes, table, vertices
+from .views import PARCELS, PLACES, VERTICES, parcels, places, routes, table
 
 BOX = (0.0, -10.0, 40.0, 30.0)
 _HIT = "minx <= 40 AND maxx >= 0 AND miny <= 30 AND maxy >= -10"
