@@ -16,7 +16,6 @@ Nulls: a null or empty text scores as one without any term; a null id isn't held
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from math import lgamma, log
 
