@@ -246,18 +246,43 @@ def viewport_read(spark, sf_dir):
     return spark.createDataFrame([(x, y, int(a[y, x, 0])) for y in range(16) for x in range(8)], "px long, py long, sample int")
 
 
-@query(f"WITH {PIXELS} SELECT px, py::INT AS py, sample, 'RGB' AS color_model, 3 AS band_count, 100::DOUBLE AS ox FROM pixels WHERE py < 100")
-def worldimage_read(spark, sf_dir):
-    """A PNG with a world file: metadata and pixels."""
-    import numpy as np
+#: Pixel rows of one image file.
+IMAGE_ROWS = 1024
+
 
+def _world_image(spark, sf_dir) -> DataFrame:
+    """The whole sample grid as PNGs of IMAGE_ROWS rows with world files, each written by a task, and read back: metadata and pixels."""
     folder = scratch(spark)
-    p = pixels(spark, sf_dir).filter("py < 100").toPandas()
-    a = np.zeros((100, 64, 3), np.uint8)
-    a[p["py"], p["px"], 0] = p["sample"]
-    files.write(f"{folder}/grid.png", worldimage.encode_png(a))
-    files.write(f"{folder}/grid.pgw", b"2\n0.5\n0.25\n-3\n101.125\n198.75\n")
-    m = readers.raster_layers(spark, f"{folder}/grid.png").select("color_model", "band_count", F.col("geotransform.ox").alias("ox"))
-    px = readers.pixels(readers.read_blocks(spark, f"{folder}/grid.png")).select("px", "py", F.col("r").alias("sample"))
-    described = m.first()  # one row for one image
+
+    def written(t):
+        import numpy as np
+        import pyarrow as pa
+
+        py, px, sample = (t.column(c).to_numpy() for c in ("py", "px", "sample"))
+        top = int(py[0]) // IMAGE_ROWS * IMAGE_ROWS
+        a = np.zeros((int(py.max()) - top + 1, int(px.max()) + 1, 3), np.uint8)
+        a[py - top, px, 0] = sample
+        files.write(f"{folder}/grid-{top}.png", worldimage.encode_png(a))
+        files.write(f"{folder}/grid-{top}.pgw", f"2\n0.5\n0.25\n-3\n{101.125 + 0.25 * top!r}\n{198.75 - 3 * top!r}\n".encode())
+        return pa.table({"top": pa.array([top], pa.int64())})
+
+    pixels(spark, sf_dir).withColumn("file", F.floor(F.col("py") / IMAGE_ROWS)).groupBy("file").applyInArrow(written, "top long").collect()
+    top = F.regexp_extract("path", r"grid-(\d+)\.png$", 1).cast("int")
+    t = F.col("geotransform")
+    m = readers.raster_layers(spark, folder, format="worldimage").select("color_model", "band_count", (t["ox"] - t["b"] * top).alias("ox"))
+    (described,) = m.distinct().limit(2).collect()  # files of one grid agree
+    blocks = readers.read_images(spark, folder).withColumn("y", F.col("y") + top)
+    px = readers.pixels(blocks).select("px", "py", F.col("r").alias("sample"))
     return px.withColumns({c: F.lit(described[c]) for c in m.columns})
+
+
+@query(f"WITH {PIXELS} SELECT px, py::INT AS py, sample, 'RGB' AS color_model, 3 AS band_count, 100::DOUBLE AS ox FROM pixels")
+def worldimage_whole(spark, sf_dir):
+    """A PNG with a world file: metadata and pixels of all rows."""
+    return _world_image(spark, sf_dir)
+
+
+@query(f"WITH {PIXELS} SELECT px, py::INT AS py, sample, 'RGB' AS color_model, 3 AS band_count, 100::DOUBLE AS ox FROM pixels WHERE py < 100")
+def worldimage_read(spark, sf_dir):
+    """The rows that its SQL names, of the image of all rows."""
+    return _world_image(spark, sf_dir).filter("py < 100")

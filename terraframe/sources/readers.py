@@ -268,6 +268,21 @@ def read_blocks(spark: SparkSession, path: str, *, level: int = 0, window: tuple
     return (reader.option("window", ",".join(map(str, window))) if window else reader).load()
 
 
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """(path, x, y, w, h, pixels): every image with a world file of a folder as one block, decoded by tasks."""
+    paths = spark.createDataFrame([(p,) for p in _paths(path, "worldimage")], "path string")
+
+    def decoded(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for p in b.column("path").to_pylist():
+                a = worldimage.png(files.read(p))
+                yield pa.record_batch([pa.array([p]), *(pa.array([n], pa.int32()) for n in (0, 0, a.shape[1], a.shape[0])), pa.array([a.tobytes()], pa.binary())], names=["path", "x", "y", "w", "h", "pixels"])
+
+    return paths.repartition(F.col("path")).mapInArrow(decoded, "path string, x int, y int, w int, h int, pixels binary")
+
+
 def pixels(blocks: DataFrame) -> DataFrame:
     """(px, py, r, g, b, a): the pixels of blocks."""
 
@@ -343,9 +358,9 @@ def _describe(path: str, fmt: str) -> list[dict]:
     return out
 
 
-def raster_layers(spark: SparkSession, path: str) -> DataFrame:
+def raster_layers(spark: SparkSession, path: str, *, format: str | None = None) -> DataFrame:
     """Metadata of rasters (columns of ``schema.RASTER_LAYER``), one task per file."""
-    fmt = resolve(path)
+    fmt = format or resolve(path)
     paths = spark.createDataFrame([(p,) for p in _paths(path, fmt)], "path string")
 
     def described(batches):
