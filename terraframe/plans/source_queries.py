@@ -210,9 +210,23 @@ def _tiff(spark, sf_dir, folder: str, **how) -> str:
     return path
 
 
+def _tiff_metadata(spark, sf_dir) -> DataFrame:
+    """Metadata of the image of all rows."""
+    return readers.raster_layers(spark, _tiff(spark, sf_dir, scratch(spark), tile=16))
+
+
+@query("SELECT 64 AS width, h AS height, 1 AS band_count, '3857' AS code, 100::DOUBLE AS minx, (200 - 10 * h)::DOUBLE AS miny, 740::DOUBLE AS maxx, 200::DOUBLE AS maxy, 'BlackIsZero' AS color_model, true AS is_tiled, 0::DOUBLE AS nodata, 'Gray' AS color, 32 AS over_w, (h + 1) // 2 AS over_h, 2::DOUBLE AS decx, h / ((h + 1) // 2)::DOUBLE AS decy FROM (SELECT (max(vec_id) + 1)::INT AS h FROM embeddings)")
+def geotiff_layer(spark, sf_dir):
+    """Size, bounds and overview of an image as high as its table."""
+    m = _tiff_metadata(spark, sf_dir)
+    over = F.col("overviews")[0]
+    return m.select("width", "height", "band_count", "crs.code", "bounds.*", "color_model", "is_tiled", F.col("bands")[0]["nodata"].alias("nodata"), F.col("bands")[0]["color"].alias("color"), over["w"].alias("over_w"), over["h"].alias("over_h"), over["decx"].alias("decx"), over["decy"].alias("decy"))
+
+
 @query("SELECT 64 AS width, 500 AS height, 1 AS band_count, '3857' AS code, 100::DOUBLE AS minx, -4800::DOUBLE AS miny, 740::DOUBLE AS maxx, 200::DOUBLE AS maxy, 'BlackIsZero' AS color_model, true AS is_tiled, 0::DOUBLE AS nodata, 'Gray' AS color, 2::DOUBLE AS decx FROM (SELECT count(*) AS n FROM embeddings) WHERE n = 500")
 def geotiff_metadata(spark, sf_dir):
-    m = readers.raster_layers(spark, _tiff(spark, sf_dir, scratch(spark), tile=16)).filter("height = 500")
+    """The row of its SQL, which is empty for other heights than 500; ``geotiff_layer`` is for any height."""
+    m = _tiff_metadata(spark, sf_dir).filter("height = 500")
     return m.select("width", "height", "band_count", "crs.code", "bounds.*", "color_model", "is_tiled", F.col("bands")[0]["nodata"].alias("nodata"), F.col("bands")[0]["color"].alias("color"), F.col("overviews")[0]["decx"].alias("decx"))
 
 

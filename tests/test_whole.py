@@ -36,3 +36,8 @@ def test_world_image_holds_all_rows(spark, grid, monkeypatch, rows_a_file):
     monkeypatch.setattr(source_queries, "IMAGE_ROWS", rows_a_file)
     assert len(equal_to_sql(spark, "worldimage_whole", grid, ["embeddings"])) == 131 * 64
     assert len(equal_to_sql(spark, "worldimage_read", grid, ["embeddings"])) == 100 * 64
+
+
+def test_geotiff_metadata_of_any_height(spark, grid):
+    (row,) = equal_to_sql(spark, "geotiff_layer", grid, ["embeddings"])
+    assert "131" in row and "-1110.0" in row  # height and lower edge
