@@ -88,20 +88,38 @@ def attributes_json(spark, sf_dir):
     return f.select("feature_id", get("$.p_size", "bigint").alias("size"), get("$.even", "boolean").alias("even"), get("$.tags[0]", "string").alias("tag"))
 
 
-@query(f"WITH {PARCELS} SELECT id::VARCHAR AS feature_id, minx AS d_minx, maxy + 1 AS d_maxy FROM parcels WHERE id % 3 = 0")
-def geojson_bbox(spark, sf_dir):
-    """Declared boxes of features, which have no geometry here."""
+def _declared(spark, sf_dir) -> DataFrame:
+    """Declared boxes of all parcels, written without geometry, one file per partition, and read back."""
     folder = scratch(spark)
-    p = parcels(spark, sf_dir).filter("id % 3 = 0")
     text = F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("id"), F.array("minx", "miny", "maxx", F.col("maxy") + 1).alias("bbox"), F.struct("p_size").alias("properties")))
     whole = F.regexp_replace(text, '"properties"', '"geometry":null,"properties"')
-    lines = p.select(whole.alias("f")).groupBy().agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", F.collect_list("f")), F.lit("]}")).alias("value"))
-    name = f"{folder}/declared.geojson"
-    files.write(name, lines.first()["value"].encode())
-    f = readers.read_features(spark, name)
+
+    def written(batches):
+        import pyarrow as pa
+
+        lines = [f for b in batches for f in b.column("f").to_pylist()]
+        if lines:
+            name = f"part_{uuid.uuid4().hex}"
+            files.write(f"{folder}/{name}.geojson", f'{{"type":"FeatureCollection","features":[{",".join(lines)}]}}'.encode())
+            yield pa.record_batch([pa.array([name])], names=["file"])
+
+    parcels(spark, sf_dir).select(whole.alias("f")).mapInArrow(written, "file string").collect()
+    f = readers.read_features(spark, folder, format="geojson")
     return f.select("feature_id", F.col("declared_bounds.minx").alias("d_minx"), F.col("declared_bounds.maxy").alias("d_maxy"))
 
 
+@query(f"WITH {PARCELS} SELECT id::VARCHAR AS feature_id, minx AS d_minx, maxy + 1 AS d_maxy FROM parcels")
+def geojson_declared(spark, sf_dir):
+    """Declared boxes of all features, which have no geometry here."""
+    return _declared(spark, sf_dir)
+
+
+@query(f"WITH {PARCELS} SELECT id::VARCHAR AS feature_id, minx AS d_minx, maxy + 1 AS d_maxy FROM parcels WHERE id % 3 = 0")
+def geojson_bbox(spark, sf_dir):
+    """The features that its SQL names, of a folder of all of them."""
+    return _declared(spark, sf_dir).filter(F.col("feature_id").cast("long") % 3 == 0)
+
+
 @query(f"WITH {PLACES} SELECT event_type, x, y, value AS z FROM places")
 def shapefile_scan(spark, sf_dir):
     folder = scratch(spark)

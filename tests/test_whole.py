@@ -41,3 +41,13 @@ def test_world_image_holds_all_rows(spark, grid, monkeypatch, rows_a_file):
 def test_geotiff_metadata_of_any_height(spark, grid):
     (row,) = equal_to_sql(spark, "geotiff_layer", grid, ["embeddings"])
     assert "131" in row and "-1110.0" in row  # height and lower edge
+
+
+def test_all_declared_boxes_are_read(spark, tmp_path):
+    part = spark.range(50).selectExpr("id AS p_partkey", "concat('n', id) AS p_name", "'b' AS p_brand", "'t' AS p_type", "CAST(id % 50 + 1 AS INT) AS p_size")
+    part.repartition(3).write.parquet(str(tmp_path / "part.parquet"))
+    duckdb.execute(f"COPY (SELECT * FROM '{tmp_path}/part.parquet/*.parquet') TO '{tmp_path}/one.parquet'")
+    (tmp_path / "sf").mkdir()
+    (tmp_path / "one.parquet").rename(tmp_path / "sf" / "part.parquet")
+    assert len(equal_to_sql(spark, "geojson_declared", tmp_path / "sf", ["part"])) == 50
+    assert len(equal_to_sql(spark, "geojson_bbox", tmp_path / "sf", ["part"])) == 17
