@@ -231,9 +231,16 @@ def pk_select(spark, sf_dir):
     return index.primary_key(columns)
 
 
+@query(f"""WITH {PLACES}, {PARCELS} SELECT a.id AS l_id, b.id AS r_id FROM places a JOIN parcels b ON a.x <= b.maxx AND a.x >= b.minx AND a.y <= b.maxy AND a.y >= b.miny""")
+def spatial_join_whole(spark, sf_dir):
+    """Beyond the reference: all places with the parcels they lie in."""
+    p = parcels(spark, sf_dir).select("id", *E.SIDES)
+    return index.spatial_join(places(spark, sf_dir).select("id", *E.SIDES), p, 5.0).select("l_id", "r_id")
+
+
 @query(f"""WITH {PARCELS} SELECT a.id AS l_id, b.id AS r_id FROM parcels a JOIN parcels b ON a.p_size < 6 AND b.p_size > 40 AND a.minx <= b.maxx AND a.maxx >= b.minx AND a.miny <= b.maxy AND a.maxy >= b.miny""")
 def spatial_join(spark, sf_dir):
-    """Beyond the reference: small parcels with the large ones they meet."""
+    """Beyond the reference: small parcels with the large ones they meet; ``spatial_join_whole`` joins two whole tables."""
     p = parcels(spark, sf_dir).select("id", *E.SIDES, "p_size")
     return index.spatial_join(p.filter("p_size < 6"), p.filter("p_size > 40"), 12.5).select("l_id", "r_id")
 

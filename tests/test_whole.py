@@ -51,3 +51,17 @@ def test_all_declared_boxes_are_read(spark, tmp_path):
     (tmp_path / "one.parquet").rename(tmp_path / "sf" / "part.parquet")
     assert len(equal_to_sql(spark, "geojson_declared", tmp_path / "sf", ["part"])) == 50
     assert len(equal_to_sql(spark, "geojson_bbox", tmp_path / "sf", ["part"])) == 17
+
+
+def test_join_of_whole_tables_equals_brute_force(spark, tmp_path):
+    events = spark.range(3000).selectExpr("id AS event_id", "id AS user_id", "'e' AS event_type", "1D AS value", "'{}' AS props")
+    part = spark.range(200).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "CAST(id % 50 + 1 AS INT) AS p_size")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    points = [(i, (i * 37 % 3600) / 10 - 180, (i * 91 % 1700) / 10 - 85) for i in range(3000)]
+    boxes = [(i, (i % 180) / 2 - 90, i % 85 - 40, (i % 50 + 1) / 2) for i in range(200)]
+    want = sorted((a, b) for a, x, y in points for b, left, low, side in boxes if left <= x <= left + side and low <= y <= low + side)
+    sizes = {b % 50 + 1 for _, b in want}
+    assert min(sizes) < 6 and max(sizes) > 40 and any(6 <= s <= 40 for s in sizes)
+    got = sorted((r.l_id, r.r_id) for r in registry.QUERIES["spatial_join_whole"](spark, str(tmp_path)).collect())
+    assert got == want
