@@ -180,8 +180,6 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int]) -> dict:
     model = {"terms": terms, "groups": groups, "coefficients": None, "intercept": 0.0}
     share = min(max((counts.get(1, 0) + 1) / (sum(counts.values()) + 2), 1e-3), 1 - 1e-3)
     model["intercept"] = float(np.log(share / (1 - share)))
-    if not mined:
-        return model
     found, patterns = Terms(terms), [re.compile(p) for p in PATTERNS.values()]
     rows = [tables(t, found, patterns) for t, _ in sample]
     # voters: themes, patterns and each mined term vote toxic or abstain; "nothing found" votes clean
@@ -192,6 +190,8 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int]) -> dict:
         votes[r, len(groups) : len(groups) + len(h)] = [n > 0 for n in h]
         votes[r, len(groups) + len(h) : -1] = [i in c for i in mined_numbers]
         votes[r, -1] = -1 if not c else 0
+    if not (votes > 0).any():
+        return model  # nothing tells the classes apart
     balance = np.array([counts[y] / max(1, sum(1 for _, l in sample if l == y)) for _, y in sample])
     first = np.clip((votes[:, :-1] > 0).sum(axis=1) / 2, 0.05, 0.95)
     posterior, _, _ = label_model(votes, first)
