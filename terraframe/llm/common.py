@@ -116,6 +116,19 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, weight: str, values: li
     return out.select(*[F.col(c) for c in rows.columns], *[picked[v].alias(v) for v in values])
 
 
+def stand_ins(classes: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """(classes, top): a null ``rep`` becomes a number of its own above ``top``, the largest given one.
+
+    So a class without an id can be linked, but a component's smallest node is above ``top`` only if no class of it has an id.
+    """
+    top, missing = classes.agg(F.max("rep"), F.count(F.when(F.col("rep").isNull(), 1))).first()
+    top = 0 if top is None else top
+    if missing:
+        number = F.lit(top).cast("long") + F.monotonically_increasing_id() + 1
+        classes = materialise(classes.withColumn("rep", F.coalesce("rep", number)), name)
+    return classes, top
+
+
 def connected_components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     """(node, component) for undirected links (u, v): component is the smallest node reachable.
 

@@ -14,8 +14,8 @@ blocks is handled by one of the two. No pairs are emitted: a comparison gives ea
 of the links for the components.
 
 Nulls: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; so do vectors of different
-lengths. A row with a null id counts as another vector for its class, has no component of its own unless its class has an id, and
-classes without any id are only counted among themselves. Rows that repeat an id are vectors of their own. Extra columns are ignored.
+lengths. A row with a null id links like any other and takes the component's smallest id, or null if no row of the component has an
+id. Rows that repeat an id are vectors of their own. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_batches, attach, connected_components, fresh, materialise
+from .common import arrow_batches, attach, connected_components, fresh, materialise, stand_ins
 
 #: Sampled classes that the tree is fitted on, its most nodes, and the vectors of a block.
 SAMPLE = 4096
@@ -34,6 +34,8 @@ BLOCK = 1024
 LEAF_SAMPLE = 64
 #: Query blocks compared in one pass over the others.
 TOGETHER = 4
+#: Vectors of each length are compared in a pass of their own; more lengths than this are refused.
+MAX_LENGTHS = 1000
 #: Single precision is off by less than this; what is nearer to the threshold is taken anew in double precision.
 MARGIN = 1e-4
 
@@ -277,11 +279,14 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, id_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(finite, v.cast("array<float>")).alias("embedding"))
     classes = rows.filter("embedding IS NOT NULL").groupBy("embedding").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     classes = materialise(classes.withColumn("size", F.size("embedding")), "vector-classes")
-    linkable = classes.filter("rep IS NOT NULL")
+    classes, top = stand_ins(classes, "vector-classes")
     found = None
-    for dimension in sorted(r["size"] for r in linkable.select("size").distinct().limit(1000).collect()):
+    lengths = sorted(r["size"] for r in classes.select("size").distinct().limit(MAX_LENGTHS + 1).collect())
+    if len(lengths) > MAX_LENGTHS:
+        raise ValueError(f"vectors of more than {MAX_LENGTHS} lengths")
+    for dimension in lengths:
         folder = fresh(spark, "blocks")
-        parents, raw, _ = _blocks(linkable.filter(F.col("size") == dimension), dimension, threshold, folder)
+        parents, raw, _ = _blocks(classes.filter(F.col("size") == dimension), dimension, threshold, folder)
         part = _compare(spark, folder, parents, raw, dimension, threshold)
         found = part if found is None else found.union(part)
     if found is None:
@@ -289,8 +294,9 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, id_col: str
     found = materialise(found, "compared")
     links = found.filter("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))
     comps = connected_components(found.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    component = F.coalesce("component", "rep")
     table = classes.join(links, classes.rep == links.a, "left").join(comps, classes.rep == comps.node, "left")
-    table = table.select("embedding", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    table = table.select("embedding", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.when(component <= top, component).alias("component_id"))
     out = attach(rows, table, "embedding", "n", ["n_links", "component_id"], F.col("id"))
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

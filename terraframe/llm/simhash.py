@@ -12,7 +12,7 @@ only if they share a fingerprint within one bit of both. At most 65 classes are
 value, so those groups are bounded by construction.
 
 Nulls: a null or wordless text has fingerprint zero and is linked like any other. A row with a null id
-keeps its fingerprint and takes the component of its class (null if no row of its class has an id). Rows that
+keeps its fingerprint and links like any other; its component is null if no row of the component has an id. Rows that
 repeat an id share its component. Fewer words than ``shingle``: the whole sequence is the only shingle.
 """
 
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_batches, attach, connected_components, materialise
+from .common import arrow_batches, attach, connected_components, materialise, stand_ins
 
 BITS = 64
 SEGMENT_BITS = 4
@@ -104,8 +104,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id"
     """(id, fingerprint 16 hex digits, component_id), one row per row of ``docs``; links are fingerprints within two bits."""
     fps = materialise(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "fingerprints")
     classes = materialise(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
-    # a class whose rows all lack an id has no number to be linked by
-    comps = connected_components(link(classes.filter("rep IS NOT NULL")))
-    placed = classes.join(comps, classes.rep == comps.node, "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
+    classes, top = stand_ins(classes, "classes")
+    comps = connected_components(link(classes))
+    component = F.coalesce("component", "rep")
+    placed = classes.join(comps, classes.rep == comps.node, "left").select("fp", "n", F.when(component <= top, component).alias("component_id"))
     out = attach(fps, placed, "fp", "n", ["component_id"], F.col("id"))
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
