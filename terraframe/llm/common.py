@@ -21,8 +21,9 @@ WORD = f"[^{SPACES}]+"
 #: After the HOT_KEYS most frequent keys are taken out, no key holds more than
 #: 1 / (HOT_KEYS + 1) of the rows, whatever the data.
 HOT_KEYS = 1000
-#: Rows in an Arrow batch sent to Python; with long texts the session's byte limit rules.
-ARROW_ROWS = 1000
+#: Rows and bytes in an Arrow batch sent to Python; with texts the bytes rule.
+ARROW_ROWS = 10_000
+ARROW_BYTES = 2 << 20
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -68,7 +69,7 @@ def remove(spark: SparkSession, path: str) -> None:
 def arrow_batches(spark: SparkSession) -> None:
     """Keep batches for Python small: texts differ in length by orders of magnitude."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def put(path: str, data: bytes) -> None:

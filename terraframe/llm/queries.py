@@ -19,10 +19,9 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: number and SHA-256 of its ids (little-endian 32-bit numbers), and whether decoding them gives the text again."""
-    from .sentencepiece_lattice import decode, encode, load_model
+    from .sentencepiece_lattice import encode, load_model
 
-    model = load_model(spark)
-    coded = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    coded = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), load_model(spark), decode_to="decoded")
     n = F.expr("octet_length(tokens) div 4").cast("long")
     return coded.select("doc_id", n.alias("n_tokens"), F.sha2("tokens", 256).alias("ids_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 

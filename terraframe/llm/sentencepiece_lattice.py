@@ -11,32 +11,40 @@ equi-joined to the piece table, and the matches of a word are the edges of its l
 "arrow" takes the edges as they stream (those of a word stay together, as nothing deals them out after the explode; this is checked) and folds
 them in Python. Both give the same ids; see the README for what they cost.
 
-Characters that are no piece become the pieces of their bytes. The ids of the DICTIONARY most frequent words form a sorted table of word
-hashes in the shared folder, which tasks map into memory to look words up; it has a fixed bound. Words beyond it are joined to
-the texts by the word itself, so no vocabulary has to fit anywhere; the texts are then shuffled, compressed.
+Characters that are no piece become the pieces of their bytes. The ids of all distinct words form a sorted table of word hashes in the
+shared folder, cut into parts of about PART_WORDS words, as many as the vocabulary needs. Tasks look words up there: by mapping a part into
+memory where the folder is mounted, else through at most HELD_PARTS parts at a time. So no task holds the vocabulary, texts are never
+shuffled, and there is one path for any number of words.
 
 Nulls: a null text has no ids and decodes to null, an empty text has none and decodes to the empty text. Rows with equal texts are
-encoded alike. Words may be of any length. Only models without a normalisation table are accepted. Extra columns are kept.
+encoded alike; an empty table gives an empty one. Words may be of any length: they are exploded in windows of WINDOW characters, and long ones
+are merged from arrays and a heap. Only models without a normalisation table are accepted. Extra columns are kept, except those
+named like the columns that are added.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructType
 
-from .common import arrow_batches, attach, fresh, materialise, remove
+from .common import arrow_batches, fresh, materialise, remove
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words in the dictionary (about 20 bytes each), the parts of it by the first bits of the hash, and words a task keeps at hand.
-DICTIONARY = 1 << 23
-PART_BITS = 6
+#: Words of a part of the dictionary (about 26 bytes each), parts read at a time where the folder isn't mounted, and words a task keeps at hand.
+PART_WORDS = 1 << 16
+HELD_PARTS = 16
 AT_HAND = 1 << 16
+#: Characters of a word that are exploded together, and characters of texts whose words are looked up together.
+WINDOW = 64
+TOGETHER = 1 << 20
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 
 
@@ -177,9 +185,13 @@ def _edges(words: DataFrame, model: Model) -> DataFrame:
     # bounded by the model: one row per piece
     table = F.broadcast(spark.createDataFrame([(p, i, float(s)) for p, i, s in model.pieces], "piece string, id int, score double"))
     numbered = words.select("word", F.char_length("word").alias("n"), F.monotonically_increasing_id().alias("wid"))
-    starts = numbered.select("wid", "word", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
-    spans = starts.select("wid", "word", "n", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n") - F.col("i") + 1))).alias("l"))
-    pieces = spans.withColumn("piece", F.expr("substring(word, i, l)"))
+    # a long word in overlapping windows: else each of its substrings would be sought from its first character on
+    cut = F.expr(f"transform(sequence(0, n - 1, {WINDOW}), s -> struct(s AS s, substring(word, s + 1, {WINDOW + model.longest - 1}) AS w))")
+    whole = F.array(F.struct(F.lit(0).alias("s"), F.col("word").alias("w")))
+    windows = numbered.select("wid", "word", "n", F.explode(F.when(F.col("n") <= WINDOW, whole).otherwise(cut)).alias("x")).select("wid", "word", "n", "x.s", "x.w")
+    starts = windows.select("wid", "word", "n", "s", "w", F.explode(F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.col("n") - F.col("s")))).alias("k"))
+    spans = starts.select("wid", "word", "n", "s", "w", "k", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n") - F.col("s") - F.col("k") + 1))).alias("l"))
+    pieces = spans.select("wid", "word", "n", (F.col("s") + F.col("k")).alias("i"), "l", F.expr("substring(w, k, l)").alias("piece"))
     matched = pieces.join(table, "piece", "left").filter("id IS NOT NULL OR l = 1")
     return matched.select("wid", "n", F.when((F.col("i") == 1) & (F.col("l") == 1), F.col("word")).alias("first"), "word", "i", "l", "id", "score")
 
@@ -209,6 +221,8 @@ def lattice(words: DataFrame, model: Model, *, style: str = "arrow", packed: boo
     stream = edges.join(ranks, "id", "left").select("wid", "n", "first", at.alias("at"), value.alias("value"))
     scores = sorted(levels, reverse=True)
     name = "packed" if packed else "ids"
+    # only what the fold needs goes to the tasks, not the piece table
+    spelling, bpe = Spelling(model.byte_ids, model.unknown), model.bpe
 
     def folded_(batches: Iterator) -> Iterator:
         import numpy as np
@@ -217,10 +231,14 @@ def lattice(words: DataFrame, model: Model, *, style: str = "arrow", packed: boo
         held: list | None = None
 
         def finish(word: str, n: int, at: list, value: list):
-            edge = dict(zip(at, value))
-            if not all(k in edge for k in range(1, n * stride, stride)):
-                raise RuntimeError("the edges of a word came apart")
-            ids = merge(word, n, edge, stride, model) if model.bpe else best_path(word, n, edge, stride, scores, model)
+            if not bpe:
+                edge = dict(zip(np.concatenate(at).tolist(), np.concatenate(value).tolist()))
+                ids = best_path(word, n, checked(edge, n, stride), stride, scores, spelling)
+            elif n <= SCANNED:
+                edge = dict(zip(at[0].tolist(), value[0].tolist())) if len(at) == 1 else dict(zip(np.concatenate(at).tolist(), np.concatenate(value).tolist()))
+                ids = merge(word, n, checked(edge, n, stride), stride, spelling)
+            else:
+                ids = merge_long(word, n, np.concatenate(at), np.concatenate(value), stride, spelling)
             return word, struct.pack(f"<{len(ids)}i", *ids) if packed else ids
 
         def batch(out: list):
@@ -228,22 +246,25 @@ def lattice(words: DataFrame, model: Model, *, style: str = "arrow", packed: boo
 
         for b in batches:
             wid = np.asarray(b.column("wid"))
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(wid)) + 1, [len(wid)]]) if len(wid) else np.zeros(1, np.int64)
+            if not len(wid):
+                continue
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(wid)) + 1, [len(wid)]])
             heads = cuts[:-1]
             wids, ns = wid[heads].tolist(), np.asarray(b.column("n"))[heads].tolist()
             firsts = b.column("first").take(pa.array(heads)).to_pylist()
-            places, values, cuts = np.asarray(b.column("at")).tolist(), np.asarray(b.column("value")).tolist(), cuts.tolist()
+            places, values, cuts = np.asarray(b.column("at")), np.asarray(b.column("value")), cuts.tolist()
             out = []
             for k, (low, high) in enumerate(zip(cuts, cuts[1:])):
                 if held is not None and held[0] == wids[k]:
-                    held[3] += places[low:high]
-                    held[4] += values[low:high]
+                    held[3].append(places[low:high].copy())
+                    held[4].append(values[low:high].copy())
                     continue
                 if held is not None:
                     out.append(finish(*held[1:]))
-                held = [wids[k], firsts[k], ns[k], places[low:high], values[low:high]]
-                if held[1] is None:
+                if firsts[k] is None:
                     raise RuntimeError("the edges of a word came apart")
+                held = [wids[k], firsts[k], ns[k], [places[low:high]], [values[low:high]]]
+            held[3], held[4] = [x.copy() for x in held[3]], [x.copy() for x in held[4]]  # nothing of the batch stays
             if out:
                 yield batch(out)
         if held is not None:
@@ -252,79 +273,111 @@ def lattice(words: DataFrame, model: Model, *, style: str = "arrow", packed: boo
     return stream.mapInArrow(folded_, f"word string, {name} {'binary' if packed else 'array<int>'}")
 
 
-def spelled(text: str, model: Model) -> list[int]:
+class Spelling(NamedTuple):
+    """The ids of bytes, or the one of anything unknown."""
+
+    byte_ids: tuple[int, ...]
+    unknown: int
+
+
+def checked(edge: dict, n: int, stride: int) -> dict:
+    """The edges of a word, if those of all its single characters are there."""
+    if not all(k in edge for k in range(1, n * stride, stride)):
+        raise RuntimeError("the edges of a word came apart")
+    return edge
+
+
+def spelled(text: str, spelling: Spelling) -> list[int]:
     """The ids of a character that is no piece."""
-    return [model.byte_ids[b] for b in text.encode("utf-8", "surrogatepass")] if model.byte_ids else [model.unknown]
+    return [spelling.byte_ids[b] for b in text.encode("utf-8", "surrogatepass")] if spelling.byte_ids else [spelling.unknown]
 
 
 _ID = (1 << 24) - 1
-#: Words longer than this are merged from a heap instead of a scan of all pairs.
+#: Words longer than this are merged from a heap instead of a scan of all pairs; the ids are the same.
 SCANNED = 256
 _NONE = 1 << 60
 
 
-def _ids(word: str, bounds: list[int], edge: dict, stride: int, model: Model) -> list[int]:
+def _ids(word: str, bounds: list[int], edge, stride: int, spelling: Spelling) -> list[int]:
     out = []
     for a, b in zip(bounds, bounds[1:]):
-        v = edge[a * stride + b - a]
+        v = edge(a * stride + b - a)
         if v >= 0:
             out.append(v & _ID)
         else:
-            out += spelled(word[a:b], model)
+            out += spelled(word[a:b], spelling)
     return out
 
 
-def merge(word: str, n: int, edge: dict, stride: int, model: Model) -> list[int]:
+def merge(word: str, n: int, edge: dict, stride: int, spelling: Spelling) -> list[int]:
     """Fold of a BPE model: join the neighbours whose joint piece scores highest, of equal ones the first, until none is a piece.
 
     ``edge``: start * stride + length -> rank by score, then the id.
     """
     get = edge.get
-    if n <= SCANNED:
-        bounds = list(range(n + 1))
-        pairs = [get(k * stride + 2, _NONE) >> 24 for k in range(n - 1)]
-        none = _NONE >> 24
-        while pairs:
-            low = min(pairs)
-            if low == none:
-                break
-            k = pairs.index(low)
-            del bounds[k + 1], pairs[k]
-            if k:
-                pairs[k - 1] = get(bounds[k - 1] * stride + bounds[k + 1] - bounds[k - 1], _NONE) >> 24
-            if k < len(pairs):
-                pairs[k] = get(bounds[k] * stride + bounds[k + 2] - bounds[k], _NONE) >> 24
-        return _ids(word, bounds, edge, stride, model)
-
+    bounds = list(range(n + 1))
+    pairs = [get(k * stride + 2, _NONE) >> 24 for k in range(n - 1)]
+    none = _NONE >> 24
+    while pairs:
+        low = min(pairs)
+        if low == none:
+            break
+        k = pairs.index(low)
+        del bounds[k + 1], pairs[k]
+        if k:
+            pairs[k - 1] = get(bounds[k - 1] * stride + bounds[k + 1] - bounds[k - 1], _NONE) >> 24
+        if k < len(pairs):
+            pairs[k] = get(bounds[k] * stride + bounds[k + 2] - bounds[k], _NONE) >> 24
+    return _ids(word, bounds, edge.__getitem__, stride, spelling)
+
+
+def merge_long(word: str, n: int, at, value, stride: int, spelling: Spelling) -> list[int]:
+    """``merge`` for a long word: edges in sorted arrays, merges from a heap of (rank, start) in one number each."""
     import heapq
+    from array import array
+    from bisect import bisect_left
+
+    import numpy as np
+
+    order = np.argsort(at)
+    at, value = array("q", at[order].tobytes()), array("q", value[order].tobytes())
 
-    longest = (stride - 1) // 2
-    after, before = list(range(1, n + 1)), list(range(-1, n))
-    heap: list = []
+    def get(k: int) -> int:
+        i = bisect_left(at, k)
+        return value[i] if i < len(at) and at[i] == k else _NONE
 
-    def offer(a: int, b: int, c: int) -> None:
-        if c - a <= longest and (v := get(a * stride + c - a)) is not None:
-            heapq.heappush(heap, (v >> 24, a, b, c))
+    if any(get(k) == _NONE for k in range(1, n * stride, stride)):
+        raise RuntimeError("the edges of a word came apart")
+    longest, none = (stride - 1) // 2, _NONE >> 24
+    after, before = array("q", range(1, n + 2)), array("q", range(-1, n))
 
-    for k in range(n - 1):
-        offer(k, k + 1, k + 2)
+    def rank(a: int) -> int:
+        """Of the symbol at ``a`` and its neighbour."""
+        if (b := after[a]) >= n or (c := after[b]) - a > longest:
+            return none
+        return get(a * stride + c - a) >> 24
+
+    heap = [r << 40 | a for a in range(n - 1) if (r := rank(a)) != none]
+    heapq.heapify(heap)
+    gone = bytearray(n + 1)
     while heap:
-        _, a, b, c = heapq.heappop(heap)
-        if after[a] != b or b >= n or after[b] != c:
-            continue
-        after[a], after[b] = c, -1
-        if c < n:
-            before[c] = a
-            offer(a, c, after[c])
-        if before[a] >= 0:
-            offer(before[a], a, c)
+        r, a = (x := heapq.heappop(heap)) >> 40, x & (1 << 40) - 1
+        if gone[a] or rank(a) != r:
+            continue  # its neighbours have changed
+        b = after[a]
+        gone[b], after[a] = 1, after[b]
+        if after[b] < n:
+            before[after[b]] = a
+        for k in (before[a], a):
+            if k >= 0 and (r := rank(k)) != none:
+                heapq.heappush(heap, r << 40 | k)
     bounds = [0]
     while bounds[-1] < n:
         bounds.append(after[bounds[-1]])
-    return _ids(word, bounds, edge, stride, model)
+    return _ids(word, bounds, get, stride, spelling)
 
 
-def best_path(word: str, n: int, edge: dict, stride: int, scores: list[float], model: Model) -> list[int]:
+def best_path(word: str, n: int, edge: dict, stride: int, scores: list[float], spelling: Spelling) -> list[int]:
     """Viterbi fold of a unigram model: the best sum of scores to each position; of equal sums the shortest last piece."""
     worst, longest = min(scores, default=0.0) - 10.0, (stride - 1) // 2
     best: list[tuple[float, int]] = [(0.0, 0)]
@@ -338,31 +391,36 @@ def best_path(word: str, n: int, edge: dict, stride: int, scores: list[float], m
     bounds = [n]
     while bounds[-1]:
         bounds.append(bounds[-1] + best[bounds[-1]][1])
-    return _ids(word, bounds[::-1], edge, stride, model)
+    return _ids(word, bounds[::-1], edge.__getitem__, stride, spelling)
 
 
 class Dictionary:
-    """Words' ids by hash, in parts that lie in the shared folder: sorted hashes, ends of the ids, ids."""
+    """Words' ids by hash, in 2 ** bits parts that lie in the shared folder: sorted hashes, ends of the ids, ids."""
 
-    def __init__(self, folder: str) -> None:
+    def __init__(self, folder: str, bits: int) -> None:
         from .common import mapped
 
-        self.folder, self.parts, self.hand, self.mapped = folder, {}, {}, mapped
+        self.folder, self.bits, self.parts, self.hand, self.mapped = folder, bits, OrderedDict(), {}, mapped
 
     def _part(self, k: int):
+        import mmap
+
         import numpy as np
 
-        if k not in self.parts:
-            data = self.mapped(f"{self.folder}/part-{k}")
-            if data is None:
-                self.parts[k] = None
-            else:
-                n = int(np.frombuffer(data, "<u8", 1)[0])
-                self.parts[k] = np.frombuffer(data, "<u8", n, 8), np.frombuffer(data, "<u4", n + 1, 8 + 8 * n), memoryview(data)[8 + 8 * n + 4 * (n + 1) :]
+        if k in self.parts:
+            self.parts.move_to_end(k)
+            return self.parts[k]
+        data = self.mapped(f"{self.folder}/part-{k}")
+        if data is None:
+            raise RuntimeError("a part of the dictionary is missing")
+        n = int(np.frombuffer(data, "<u8", 1)[0])
+        self.parts[k] = np.frombuffer(data, "<u8", n, 8), np.frombuffer(data, "<u4", n + 1, 8 + 8 * n), memoryview(data)[8 + 8 * n + 4 * (n + 1) :]
+        if not isinstance(data, mmap.mmap) and len(self.parts) > HELD_PARTS:
+            self.parts.popitem(last=False)
         return self.parts[k]
 
     def look_up(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of those words that the dictionary holds."""
+        """The ids of the words, which must be in the dictionary."""
         import numpy as np
         from xxhash import xxh3_64_intdigest
 
@@ -372,22 +430,31 @@ class Dictionary:
             return out
         h = np.fromiter((xxh3_64_intdigest(w) for w in rest), np.uint64, len(rest))
         order = np.argsort(h)
-        edges = np.searchsorted(h[order] >> np.uint64(64 - PART_BITS), np.arange((1 << PART_BITS) + 1, dtype=np.uint64))
-        for k in range(1 << PART_BITS):
-            mine = order[edges[k] : edges[k + 1]]
-            if not len(mine) or (part := self._part(k)) is None:
-                continue
-            keys, ends, ids = part
-            at = np.minimum(np.searchsorted(keys, h[mine]), len(keys) - 1)
-            for j, a, hit in zip(mine.tolist(), at.tolist(), (keys[at] == h[mine]).tolist()):
-                if hit:
-                    out[rest[j]] = bytes(ids[ends[a] : ends[a + 1]])
+        part = (h[order] >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
+        for low, high in runs(part):
+            keys, ends, ids = self._part(int(part[low]))
+            mine = order[low:high]
+            at = np.searchsorted(keys, h[mine])
+            if at[-1] >= len(keys) or (keys[at] != h[mine]).any():
+                raise RuntimeError("a word isn't in the dictionary")
+            for j, a, b in zip(mine.tolist(), ends[at].tolist(), ends[at + 1].tolist()):
+                out[rest[j]] = bytes(ids[a:b])
         if len(self.hand) < AT_HAND:
             self.hand.update(out)
         return out
 
 
-def _build(words: DataFrame, folder: str) -> None:
+def runs(sorted_values) -> list[tuple[int, int]]:
+    """(from, to) of each run of equal values."""
+    import numpy as np
+
+    if not len(sorted_values):
+        return []
+    cuts = [0, *(np.flatnonzero(np.diff(sorted_values)) + 1).tolist(), len(sorted_values)]
+    return list(zip(cuts, cuts[1:]))
+
+
+def _build(words: DataFrame, folder: str, bits: int) -> None:
     """Write the dictionary of (word, packed); one file per part, whole or not at all."""
 
     def hashed(batches: Iterator) -> Iterator:
@@ -396,7 +463,7 @@ def _build(words: DataFrame, folder: str) -> None:
 
         for b in batches:
             h = [xxh3_64_intdigest(w.as_py()) for w in b.column("word")]
-            yield pa.record_batch([pa.array([x >> (64 - PART_BITS) for x in h], pa.int32()), pa.array([x - (1 << 64) if x >> 63 else x for x in h], pa.int64()), b.column("packed")], names=["part", "h", "packed"])
+            yield pa.record_batch([pa.array([x >> (64 - bits) for x in h], pa.int32()), pa.array([x - (1 << 64) if x >> 63 else x for x in h], pa.int64()), b.column("packed")], names=["part", "h", "packed"])
 
     def written(batches: Iterator) -> Iterator:
         import numpy as np
@@ -404,163 +471,137 @@ def _build(words: DataFrame, folder: str) -> None:
 
         from .common import put
 
-        hashes: dict[int, list] = {}
-        packed: dict[int, list] = {}
+        part, h, packed = None, [], []
+        done = 0
+
+        def close() -> None:
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in packed])]).astype("<u4")
+            put(f"{folder}/part-{part}", np.uint64(len(h)).tobytes() + np.array(h, np.int64).view(np.uint64).astype("<u8").tobytes() + ends.tobytes() + b"".join(packed))
+
         for b in batches:
-            part = np.asarray(b.column("part"))
-            h, values = np.asarray(b.column("h")).view(np.uint64), b.column("packed").to_pylist()
-            for k in np.unique(part).tolist():
-                at = np.flatnonzero(part == k)
-                hashes.setdefault(k, []).append(h[at])
-                packed.setdefault(k, []).extend(values[i] for i in at.tolist())
-        for k, chunks in hashes.items():
-            h = np.concatenate(chunks)
-            order = np.argsort(h)
-            ids = [packed[k][i] for i in order.tolist()]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("<u4")
-            put(f"{folder}/part-{k}", np.uint64(len(h)).tobytes() + h[order].astype("<u8").tobytes() + ends.tobytes() + b"".join(ids))
-        yield pa.record_batch([pa.array([len(hashes)], pa.int32())], names=["parts"])
-
-    dealt = words.select("word", "packed").mapInArrow(hashed, "part int, h long, packed binary").repartition(1 << PART_BITS, "part")
-    materialise(dealt.mapInArrow(written, "parts int"), "dictionary")
+            parts = np.asarray(b.column("part"))
+            for low, high in runs(parts):
+                if parts[low] != part:
+                    if part is not None:
+                        close()
+                        done += 1
+                    part, h, packed = int(parts[low]), [], []
+                h += b.column("h")[low:high].to_pylist()
+                packed += b.column("packed")[low:high].to_pylist()
+        if part is not None:
+            close()
+            done += 1
+        yield pa.record_batch([pa.array([done], pa.int32())], names=["parts"])
+
+    dealt = words.select("word", "packed").mapInArrow(hashed, "part int, h long, packed binary")
+    # in the order of unsigned hashes
+    dealt = dealt.repartition(min(1 << bits, 4096), "part").sortWithinPartitions("part", F.col("h").bitwiseXOR(F.lit(-(1 << 63))))
+    dealt.mapInArrow(written, "parts int").agg(F.sum("parts")).collect()
+
+
+def _texts(model: Model):
+    """The bytes of each id."""
+    return [bytes([int(p[3:5], 16)]) if k == _BYTE else p.replace(SPACE, " ").encode() for p, k in zip(model.names, model.kinds)]
 
 
 def decode_ids(ids, model: Model) -> str:
     """The text of a sequence of ids."""
-    if not model.byte_ids:
-        out = "".join(model.names[i] for i in ids)
-    else:
-        data = bytearray()
-        for i in ids:
-            data += bytes([int(model.names[i][3:5], 16)]) if model.kinds[i] == _BYTE else model.names[i].encode()
-        out = data.decode("utf-8", "replace")
-    out = out.replace(SPACE, " ")
-    return out[1:] if model.prefix and out[:1] == " " else out
-
-
-def encode(docs: DataFrame, model: Model, *, text_col: str = "text", dictionary: int = DICTIONARY) -> DataFrame:
-    """``docs`` with ``tokens``, the ids of the text as a binary of little-endian 32-bit numbers (null for a null text)."""
+    return _joined(_texts(model), ids, model.prefix)
+
+
+def _joined(texts, ids, prefix: bool) -> str:
+    out = b"".join([texts[i] for i in ids]).decode("utf-8", "replace")
+    return out[1:] if prefix and out[:1] == " " else out
+
+
+def encode(docs: DataFrame, model: Model, *, text_col: str = "text", tokens_col: str = "tokens", decode_to: str | None = None) -> DataFrame:
+    """``docs`` with ``tokens_col``, the ids of the text as a binary of little-endian 32-bit numbers (null for a null text).
+
+    ``decode_to`` adds the text that these ids decode to, in the same pass.
+    """
     spark = docs.sparkSession
     arrow_batches(spark)
     split = Splitter(model)
 
     def counted(batches: Iterator) -> Iterator:
-        from collections import Counter
-
         import pyarrow as pa
 
-        seen: Counter = Counter()
+        seen: set = set()
 
         def flush():
-            return pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            return pa.record_batch([pa.array(list(seen), pa.string())], names=["word"])
 
         for b in batches:
             for t in b.column(0):
-                seen.update(split(t.as_py() or ""))
-                if len(seen) > 200_000:
+                if t.is_valid:
+                    seen.update(split(t.as_py()))
+                if len(seen) > 100_000:
                     yield flush()
                     seen.clear()
         yield flush()
 
-    at_words, at_encoded = fresh(spark, "words"), fresh(spark, "encoded-words")
-    words = materialise(docs.select(text_col).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("rows")), "words", path=at_words)
+    at_encoded = fresh(spark, "encoded-words")
+    words = docs.select(text_col).mapInArrow(counted, "word string").distinct()
     # dealt anew: the words of a partition are all there is to explode there
-    encoded = materialise(lattice(words.select("word").repartition(F.col("word")), model, packed=True), "encoded-words", path=at_encoded)
-    folder = fresh(spark, "dictionary")
-    whole = words.count() <= dictionary
-    known = encoded
-    if not whole:
-        top = materialise(words.orderBy(F.desc("rows"), "word").limit(dictionary).select("word"), "top-words")
-        known = encoded.join(top, "word", "left_semi")
-    _build(known, folder)
-    if whole:
-        remove(spark, at_words)
-        remove(spark, at_encoded)
-        return _fill(docs.withColumn("_o", F.lit(None).cast("array<struct<word:string,packed:binary>>")), docs, text_col, False, split, folder)
-
-    keyed = docs.withColumns({"_i": F.xxhash64(F.col(text_col)), "_n": F.char_length(text_col)})
-
-    def others(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        table = Dictionary(folder)
-        for b in batches:
-            found = [set(split(t.as_py() or "")) for t in b.column(2)]
-            held = table.look_up(set().union(*found))
-            left = [[w for w in f if w not in held] for f in found]
-            keys = [k for k, f in zip(b.column(0).to_pylist(), left) for _ in f]
-            sizes = [k for k, f in zip(b.column(1).to_pylist(), left) for _ in f]
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array([w for f in left for w in f], pa.string())], names=["_i", "_n", "word"])
-
-    pairs = materialise(keyed.select("_i", "_n", text_col).dropDuplicates(["_i", "_n"]).mapInArrow(others, "_i long, _n int, word string"), "other-words")
-    counts = pairs.groupBy("word").agg(F.count("*").alias("rows"))
-    attached = attach(pairs, encoded.join(counts, "word"), "word", "rows", ["packed"], F.col("_i"))
-    per_text = materialise(attached.groupBy("_i", "_n").agg(F.collect_list(F.struct("word", "packed")).alias("_o")), "words-of-texts")
-    return _fill(_squeeze(keyed, text_col).join(per_text, ["_i", "_n"], "left"), docs, text_col, True, split, folder)
-
-
-def _squeeze(docs: DataFrame, text_col: str) -> DataFrame:
-    """The text column as zstandard-compressed binary, for the shuffle."""
-    schema = StructType([f if f.name != text_col else StructField(f.name, BinaryType()) for f in docs.schema])
-
-    def squeezed(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        import zstandard
-
-        tool = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            at = b.schema.get_field_index(text_col)
-            packed = pa.array([None if (t := x.as_py()) is None else tool.compress(t.encode("utf-8", "surrogatepass")) for x in b.column(at)], pa.binary())
-            yield b.set_column(at, text_col, packed)
-
-    return docs.mapInArrow(squeezed, schema)
-
-
-def _fill(joined: DataFrame, docs: DataFrame, text_col: str, squeezed: bool, split: Splitter, folder: str) -> DataFrame:
-    columns = docs.columns
-    schema = StructType(list(docs.schema.fields)).add("tokens", BinaryType())
+    encoded = materialise(lattice(words.repartition(F.col("word")), model, packed=True), "encoded-words", path=at_encoded)
+    folder, bits = fresh(spark, "dictionary"), max(1, -(-encoded.count() // PART_WORDS) - 1).bit_length()
+    _build(encoded, folder, bits)
+    remove(spark, at_encoded)
+
+    columns = [c for c in docs.columns if c not in (tokens_col, decode_to)]
+    schema = StructType([f for f in docs.schema.fields if f.name in columns]).add(tokens_col, BinaryType())
+    if decode_to:
+        schema = schema.add(decode_to, StringType())
+    texts, prefix = _texts(model) if decode_to else [], model.prefix
+    at = columns.index(text_col)
 
     def filled(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
-        import zstandard
 
-        table, tool = Dictionary(folder), zstandard.ZstdDecompressor()
+        table, pieces = Dictionary(folder, bits), np.empty(len(texts), object)
+        pieces[:] = texts
         for b in batches:
-            texts = b.column(text_col).to_pylist()
-            if squeezed:
-                texts = [None if t is None else tool.decompress(t).decode("utf-8", "surrogatepass") for t in texts]
-            words = [None if t is None else split(t) for t in texts]
-            known = table.look_up({w for f in words if f for w in f})
-            for x in b.column("_o"):
-                if x.is_valid:
-                    known.update((y["word"], y["packed"]) for y in x.as_py())
-            tokens = [None if f is None else b"".join([known[w] for w in f]) for f in words]
-            data = [pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in columns]
-            yield pa.record_batch([*data, pa.array(tokens, pa.binary())], names=[*columns, "tokens"])
-
-    return joined.select(*[F.col(f"`{c}`") for c in columns], "_o").mapInArrow(filled, schema)
+            tokens, decoded, held, size = [], [], [], 0
+
+            def finish() -> None:
+                known = table.look_up({w for f in held if f for w in f})
+                for f in held:
+                    x = None if f is None else b"".join([known[w] for w in f])
+                    tokens.append(x)
+                    if decode_to:
+                        decoded.append(None if x is None else _joined(pieces, np.frombuffer(x, "<i4"), prefix))
+                held.clear()
+
+            for t in b.column(at):
+                t = t.as_py()
+                held.append(None if t is None else split(t))
+                size += len(t or "")
+                if size > TOGETHER:
+                    finish()
+                    size = 0
+            finish()
+            more = [pa.array(decoded, pa.string())] if decode_to else []
+            yield pa.record_batch([*b.columns, pa.array(tokens, pa.binary()), *more], names=[f.name for f in schema])
+
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(filled, schema)
 
 
 def decode(docs: DataFrame, model: Model, *, tokens_col: str = "tokens", out_col: str = "decoded") -> DataFrame:
     """``docs`` with the text of ``tokens_col``: ids are looked up in the piece table, at most one row per piece of the model."""
     arrow_batches(docs.sparkSession)
-    schema = StructType(list(docs.schema.fields)).add(out_col, StringType())
+    columns = [c for c in docs.columns if c != out_col]
+    schema = StructType([f for f in docs.schema.fields if f.name != out_col]).add(out_col, StringType())
+    texts, prefix, at = _texts(model), model.prefix, columns.index(tokens_col)
 
     def decoded(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        data = np.empty(len(model.names), object)
-        data[:] = [bytes([int(p[3:5], 16)]) if k == _BYTE else p.replace(SPACE, " ").encode() for p, k in zip(model.names, model.kinds)]
+        pieces = np.empty(len(texts), object)
+        pieces[:] = texts
         for b in batches:
-            out = []
-            for x in b.column(tokens_col):
-                x = x.as_py()
-                if x is None:
-                    out.append(None)
-                    continue
-                text = b"".join(data[np.frombuffer(x, "<i4")].tolist()).decode("utf-8", "replace")
-                out.append(text[1:] if model.prefix and text[:1] == " " else text)
-            yield pa.record_batch([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, out_col])
+            out = [_joined(pieces, np.frombuffer(x.as_py(), "<i4"), prefix) if x.is_valid else None for x in b.column(at)]
+            yield pa.record_batch([*b.columns, pa.array(out, pa.string())], names=[f.name for f in schema])
 
-    return docs.mapInArrow(decoded, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(decoded, schema)

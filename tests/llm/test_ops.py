@@ -448,15 +448,18 @@ def processor():
 TEXTS = ["hello world", " hello", "hello  world\n\tx ", "", "é ﬁ Ａ é", "<s> </s> <unk>", "▁a b", "日本語 😀\x00x", "a\n\nb \n c", "  \n ", "y" * 500, "      six", "x\r\ny", "aaaaaaaaab" * 30, "▁▁▁ ▁", "tab\ttab", "!!!???...", "=" * 70]
 
 
-def test_encoding_equals_the_library(spark, docs, corpus):
-    from terraframe.llm.sentencepiece_lattice import decode, encode, load_model
+def test_encoding_equals_the_library(spark, docs, corpus, monkeypatch):
+    from terraframe.llm import sentencepiece_lattice as sl
 
-    model, sp = load_model(spark), processor()
+    model, sp = sl.load_model(spark), processor()
     extra = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     both = docs.select("doc_id", "text").union(extra)
     texts = collections.Counter([t for _, t, *_ in corpus] + TEXTS)
-    for size in (1 << 23, 40):  # the whole vocabulary in the dictionary, or a little of it
-        rows = decode(encode(both.withColumn("word", F.lit(1)), model, dictionary=size), model).collect()
+    for size in (1 << 16, 40):  # a few parts of the dictionary, or many
+        monkeypatch.setattr(sl, "PART_WORDS", size)
+        coded = sl.encode(both.withColumn("word", F.lit(1)).withColumn("tokens", F.lit(2)), model, decode_to="decoded")
+        assert coded.columns == ["doc_id", "text", "word", "tokens", "decoded"]
+        rows = coded.collect()
         assert collections.Counter(r.text for r in rows) == texts
         for r in rows:
             if r.text is None:
@@ -464,7 +467,48 @@ def test_encoding_equals_the_library(spark, docs, corpus):
             else:
                 assert np.frombuffer(bytes(r.tokens), "<i4").tolist() == sp.encode(r.text)
                 assert r.decoded == sp.decode(sp.encode(r.text))
-    assert encode(both.limit(0), model).collect() == []
+    assert sorted(map(str, sl.decode(coded, model).collect())) == sorted(map(str, rows))
+    assert sl.encode(both.limit(0), model).collect() == []
+
+
+def test_long_words_cost_in_proportion(spark):
+    """Texts without spaces are one word each."""
+    import random
+    import time
+
+    from terraframe.llm import sentencepiece_lattice as sl
+
+    model, sp, rnd = sl.load_model(spark), processor(), random.Random(1)
+    took = {}
+    for n in (1000, 20_000, 80_000):
+        text = "".join(rnd.choices("thequickabno日本語é", k=n))
+        began = time.perf_counter()
+        (row,) = sl.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), model, decode_to="decoded").collect()
+        took[n] = time.perf_counter() - began
+        assert np.frombuffer(bytes(row.tokens), "<i4").tolist() == sp.encode(text) and row.decoded == text
+    assert took[80_000] < 6 * took[20_000]
+
+
+def test_dictionary_is_read_in_parts():
+    """Without a mounted folder a task holds HELD_PARTS parts at most."""
+    import struct
+
+    from terraframe.llm import sentencepiece_lattice as sl
+    from xxhash import xxh3_64_intdigest
+
+    bits, words = 6, [f"w{i}" for i in range(3000)]
+    files = {}
+    for k in range(1 << bits):
+        mine = sorted((xxh3_64_intdigest(w), w) for w in words if xxh3_64_intdigest(w) >> (64 - bits) == k)
+        ids = [w.encode() for _, w in mine]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+        files[f"f/part-{k}"] = struct.pack("<Q", len(mine)) + np.array([h for h, _ in mine], "<u8").tobytes() + ends.astype("<u4").tobytes() + b"".join(ids)
+    table = sl.Dictionary("f", bits)
+    table.mapped = files.get
+    assert table.look_up(set(words)) == {w: w.encode() for w in words} and len(table.parts) == sl.HELD_PARTS
+    assert table.look_up({"w5", "w7"}) == {"w5": b"w5", "w7": b"w7"}
+    with pytest.raises(RuntimeError):
+        table.look_up({"missing"})
 
 
 def test_both_styles_of_folding_agree(spark):
