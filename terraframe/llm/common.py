@@ -66,6 +66,33 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Tables in the shared folder that a result not yet computed may read, by application.
+_LEFT: dict[str, list[str]] = {}
+
+
+def leave(spark: SparkSession, path: str) -> None:
+    """Note a path that a returned DataFrame reads, for ``cleanup``."""
+    _LEFT.setdefault(spark.sparkContext.applicationId, []).append(path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete what earlier operators left for results that have been written or are no longer wanted."""
+    for path in _LEFT.pop(spark.sparkContext.applicationId, []):
+        remove(spark, path)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free(columns: list[str], name: str) -> str:
+    """A name like ``name`` that no column has."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def arrow_batches(spark: SparkSession) -> None:
     """Keep batches for Python small: texts differ in length by orders of magnitude."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

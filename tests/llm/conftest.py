@@ -46,7 +46,7 @@ def empty(spark):
 
 
 #: Names that operators use inside; a table may have columns of the same names.
-CLASH = ["id", "text_", "fp", "n", "t", "key", "word", "rules", "_w", "size", "pattern", "held", "passes", "tokens_"]
+CLASH = ["id", "text_", "fp", "n", "t", "key", "word", "rules", "_w", "size", "pattern", "held", "passes", "tokens_", "_t", "_n", "_len", "uid", "row", "digest", "z", "whole", "starts", "target", "pass", "n_words", "tokens", "decoded", "pos", "h", "component", "rep", "links"]
 
 
 @pytest.fixture(scope="session")

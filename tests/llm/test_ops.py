@@ -121,7 +121,7 @@ def brute_passages(rows, window=20):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("batches,fan_out", [(1, 4), (2, 4), (5, 1)])
+@pytest.mark.parametrize("batches,fan_out", [(1, 2), (3, 2), (5, 3)])
 def test_passages_equal_brute_force(docs, corpus, batches, fan_out):
     from terraframe.llm.substring_dedup import deduplicate
 
@@ -129,15 +129,55 @@ def test_passages_equal_brute_force(docs, corpus, batches, fan_out):
     assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == brute_passages(corpus)
 
 
-def test_passages_keep_text_and_columns(crowded, corpus):
+def test_passages_keep_text_and_columns(docs, crowded, corpus):
     from terraframe.llm.substring_dedup import deduplicate
 
-    got = deduplicate(crowded, texts=True)
-    assert got.columns == [*crowded.columns, "n_words", "n_removed", "kept_sha256"]
-    for r in got.collect():
+    got = deduplicate(crowded, texts=True, into="found")
+    assert got.columns == [*crowded.columns, "found"]
+    rows = got.collect()
+    assert all(r[c] == -1 for r in rows for c in crowded.columns if c not in docs.columns)
+    for r in rows:
         kept = (r.text or "").encode().split()
-        assert len(kept) == r.n_words - r.n_removed and hashlib.sha256(b" ".join(kept)).hexdigest() == r.kept_sha256
-    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == brute_passages(corpus)
+        assert len(kept) == r.found.n_words - r.found.n_removed and hashlib.sha256(b" ".join(kept)).hexdigest() == r.found.kept_sha256
+    assert collections.Counter((r.doc_id, *r.found) for r in rows) == brute_passages(corpus)
+    # without a name of its own a result takes the place of a column of the same name
+    assert deduplicate(crowded, texts=True).columns == [*(c for c in crowded.columns if c != "n_words"), "n_words", "n_removed", "kept_sha256"]
+
+
+@pytest.mark.parametrize("backwards", [False, True])
+def test_index_is_opened_again(spark, docs, corpus, backwards):
+    """Three batches in three sessions of the index: what an earlier one brought counts as earlier, whatever its ids."""
+    from terraframe.llm import substring_dedup as sd
+    from terraframe.llm.common import fresh
+
+    folder = fresh(spark, "index")
+    cuts = [(None, 30), (30, 60), (60, None)]
+    got, merges = [], 0
+    for k, (low, high) in enumerate(reversed(cuts) if backwards else cuts):
+        index = sd.Index.open(spark, folder) if k else sd.Index(spark, folder)
+        here = docs.filter("doc_id IS NOT NULL")
+        here = here if low is None else here.filter(f"doc_id >= {low}")
+        here = here if high is None else here.filter(f"doc_id < {high}")
+        store, marks = index.ingest(here)
+        got += sd.stripped(store, marks, sd.WINDOW, False).collect()
+        assert index.merges >= merges
+        merges = index.merges
+        for run in [r for rs in index.runs.values() for r in rs] + index.texts:
+            spark.sql(f"DROP TABLE {run['name']}")  # as a session without them; the files stay
+    assert merges >= 3  # every kind of run was compacted
+    rank = {None: 9} | {d: next(i for i, (low, high) in enumerate(reversed(cuts) if backwards else cuts) if (low is None or d >= low) and (high is None or d < high)) * 1000 + d for d, *_ in corpus if d is not None}
+    back = {v: k for k, v in rank.items()}
+    want = collections.Counter({(back[d], *x): n for (d, *x), n in brute_passages([(rank[d], *x) for d, *x in corpus if d is not None]).items()})
+    assert collections.Counter(tuple(r) for r in got) == want
+
+
+def test_passages_with_ids_of_text(spark):
+    from terraframe.llm.substring_dedup import deduplicate
+
+    passage = " ".join(f"w{i}" for i in range(25))
+    rows = [("b", passage + " x"), ("a", "y " + passage), (None, passage), ("c", None)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in deduplicate(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": (26, 0), "b": (26, 25), None: (25, 25), "c": (0, 0)}
 
 
 def test_passages_empty(empty):
