@@ -23,7 +23,7 @@ WORD = f"[^{SPACES}]+"
 HOT_KEYS = 1000
 #: Rows and bytes in an Arrow batch sent to Python; with texts the bytes rule.
 ARROW_ROWS = 10_000
-ARROW_BYTES = 2 << 20
+ARROW_BYTES = 4 << 20
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -38,13 +38,11 @@ from .common import arrow_batches, fresh, materialise, remove
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words of a part of the dictionary (about 26 bytes each), parts read at a time where the folder isn't mounted, and words a task keeps at hand.
+#: Words of a part of the dictionary (about 26 bytes each), and parts held at a time where the folder isn't mounted.
 PART_WORDS = 1 << 16
 HELD_PARTS = 16
-AT_HAND = 1 << 16
-#: Characters of a word that are exploded together, and characters of texts whose words are looked up together.
+#: Characters of a word that are exploded together.
 WINDOW = 64
-TOGETHER = 1 << 20
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 
 
@@ -145,6 +143,27 @@ class Splitter:
             return marked.split(" ")
         return [w for w in marked.replace("\n", " \n ").split(" ") if w]
 
+    def lists(self, texts: list[str | None]):
+        """The words of each text as an Arrow list array, with empty strings between some of them; null for a null text."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        marked: list[str | None] = []
+        odd: dict[int, list[str]] = {}
+        for i, t in enumerate(texts):
+            if t and (not self.fast or "  " in t or SPACE in t or t[0] == " "):
+                odd[i] = self(t)
+                t = None
+            elif t:
+                t = ((SPACE if self.prefix else "") + t).replace(" ", " " + SPACE).replace("\n", " \n ")
+            marked.append(t)
+        out = pc.split_pattern(pa.array(marked, pa.string()), " ")
+        if odd:
+            place = {i: len(texts) + k for k, i in enumerate(odd)}
+            both = pa.concat_arrays([out, pa.array(list(odd.values()), out.type)])
+            out = both.take(pa.array([place.get(i, i) for i in range(len(texts))], pa.int64()))
+        return out
+
 
 def _stride(longest: int) -> int:
     """Edges are keyed by start and length; two neighbours together may be twice as long as a piece."""
@@ -186,9 +205,8 @@ def _edges(words: DataFrame, model: Model) -> DataFrame:
     table = F.broadcast(spark.createDataFrame([(p, i, float(s)) for p, i, s in model.pieces], "piece string, id int, score double"))
     numbered = words.select("word", F.char_length("word").alias("n"), F.monotonically_increasing_id().alias("wid"))
     # a long word in overlapping windows: else each of its substrings would be sought from its first character on
-    cut = F.expr(f"transform(sequence(0, n - 1, {WINDOW}), s -> struct(s AS s, substring(word, s + 1, {WINDOW + model.longest - 1}) AS w))")
-    whole = F.array(F.struct(F.lit(0).alias("s"), F.col("word").alias("w")))
-    windows = numbered.select("wid", "word", "n", F.explode(F.when(F.col("n") <= WINDOW, whole).otherwise(cut)).alias("x")).select("wid", "word", "n", "x.s", "x.w")
+    cuts = numbered.select("wid", "word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(WINDOW))).alias("s"))
+    windows = cuts.select("wid", "word", "n", "s", F.expr(f"substring(word, s + 1, {WINDOW + model.longest - 1})").alias("w"))
     starts = windows.select("wid", "word", "n", "s", "w", F.explode(F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.col("n") - F.col("s")))).alias("k"))
     spans = starts.select("wid", "word", "n", "s", "w", "k", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n") - F.col("s") - F.col("k") + 1))).alias("l"))
     pieces = spans.select("wid", "word", "n", (F.col("s") + F.col("k")).alias("i"), "l", F.expr("substring(w, k, l)").alias("piece"))
@@ -400,12 +418,13 @@ class Dictionary:
     def __init__(self, folder: str, bits: int) -> None:
         from .common import mapped
 
-        self.folder, self.bits, self.parts, self.hand, self.mapped = folder, bits, OrderedDict(), {}, mapped
+        self.folder, self.bits, self.parts, self.mapped = folder, bits, OrderedDict(), mapped
 
     def _part(self, k: int):
         import mmap
 
         import numpy as np
+        import pyarrow as pa
 
         if k in self.parts:
             self.parts.move_to_end(k)
@@ -414,34 +433,43 @@ class Dictionary:
         if data is None:
             raise RuntimeError("a part of the dictionary is missing")
         n = int(np.frombuffer(data, "<u8", 1)[0])
-        self.parts[k] = np.frombuffer(data, "<u8", n, 8), np.frombuffer(data, "<u4", n + 1, 8 + 8 * n), memoryview(data)[8 + 8 * n + 4 * (n + 1) :]
+        buffer = pa.py_buffer(data)
+        ids = pa.BinaryArray.from_buffers(pa.binary(), n, [None, buffer.slice(8 + 8 * n, 4 * (n + 1)), buffer.slice(8 + 8 * n + 4 * (n + 1))])
+        self.parts[k] = np.frombuffer(data, "<u8", n, 8), ids
         if not isinstance(data, mmap.mmap) and len(self.parts) > HELD_PARTS:
             self.parts.popitem(last=False)
         return self.parts[k]
 
-    def look_up(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of the words, which must be in the dictionary."""
+    def look_up(self, words):
+        """The ids of each word of an Arrow array, packed; the empty string has none, any other must be in the dictionary."""
         import numpy as np
+        import pyarrow as pa
         from xxhash import xxh3_64_intdigest
 
-        out = {w: self.hand[w] for w in words if w in self.hand}
-        rest = [w for w in words if w not in out]
-        if not rest:
-            return out
-        h = np.fromiter((xxh3_64_intdigest(w) for w in rest), np.uint64, len(rest))
+        texts = words.to_pylist()
+        h = np.fromiter(map(xxh3_64_intdigest, texts), np.uint64, len(texts))
         order = np.argsort(h)
-        part = (h[order] >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
+        h = h[order]
+        part = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        found, empty = [], xxh3_64_intdigest("")
         for low, high in runs(part):
-            keys, ends, ids = self._part(int(part[low]))
-            mine = order[low:high]
-            at = np.searchsorted(keys, h[mine])
-            if at[-1] >= len(keys) or (keys[at] != h[mine]).any():
-                raise RuntimeError("a word isn't in the dictionary")
-            for j, a, b in zip(mine.tolist(), ends[at].tolist(), ends[at + 1].tolist()):
-                out[rest[j]] = bytes(ids[a:b])
-        if len(self.hand) < AT_HAND:
-            self.hand.update(out)
-        return out
+            if "" in (texts[i] for i in order[low:high][h[low:high] == empty]):
+                at = low + int(np.searchsorted(h[low:high], np.uint64(empty)))
+                spans = [(low, at), (at + 1, high)]
+            else:
+                at, spans = -1, [(low, high)]
+            for n, (a, b) in enumerate(spans):
+                if n:
+                    found.append(pa.array([b""], pa.binary()))
+                if a < b:
+                    keys, ids = self._part(int(part[a]))
+                    where = np.searchsorted(keys, h[a:b])
+                    if where[-1] >= len(keys) or (keys[where] != h[a:b]).any():
+                        raise RuntimeError("a word isn't in the dictionary")
+                    found.append(ids.take(pa.array(where)))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return pa.concat_arrays(found).take(pa.array(back)) if found else pa.array([], pa.binary())
 
 
 def runs(sorted_values) -> list[tuple[int, int]]:
@@ -475,8 +503,10 @@ def _build(words: DataFrame, folder: str, bits: int) -> None:
         done = 0
 
         def close() -> None:
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in packed])]).astype("<u4")
-            put(f"{folder}/part-{part}", np.uint64(len(h)).tobytes() + np.array(h, np.int64).view(np.uint64).astype("<u8").tobytes() + ends.tobytes() + b"".join(packed))
+            ids = pa.concat_arrays(packed)
+            ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+            data = memoryview(ids.buffers()[2])[ends[0] : ends[-1]]
+            put(f"{folder}/part-{part}", b"".join([np.uint64(len(ids)).tobytes(), np.concatenate(h).astype("<u8").tobytes(), (ends - ends[0]).astype("<u4").tobytes(), data]))
 
         for b in batches:
             parts = np.asarray(b.column("part"))
@@ -486,8 +516,8 @@ def _build(words: DataFrame, folder: str, bits: int) -> None:
                         close()
                         done += 1
                     part, h, packed = int(parts[low]), [], []
-                h += b.column("h")[low:high].to_pylist()
-                packed += b.column("packed")[low:high].to_pylist()
+                h.append(np.asarray(b.column("h"))[low:high].view(np.uint64).copy())
+                packed.append(b.column("packed").slice(low, high - low))
         if part is not None:
             close()
             done += 1
@@ -499,18 +529,19 @@ def _build(words: DataFrame, folder: str, bits: int) -> None:
     dealt.mapInArrow(written, "parts int").agg(F.sum("parts")).collect()
 
 
-def _texts(model: Model):
+def _texts(model: Model) -> list[bytes]:
     """The bytes of each id."""
     return [bytes([int(p[3:5], 16)]) if k == _BYTE else p.replace(SPACE, " ").encode() for p, k in zip(model.names, model.kinds)]
 
 
 def decode_ids(ids, model: Model) -> str:
     """The text of a sequence of ids."""
-    return _joined(_texts(model), ids, model.prefix)
+    texts = _texts(model)
+    return _joined([texts[i] for i in ids], model.prefix)
 
 
-def _joined(texts, ids, prefix: bool) -> str:
-    out = b"".join([texts[i] for i in ids]).decode("utf-8", "replace")
+def _joined(pieces: list[bytes], prefix: bool) -> str:
+    out = b"".join(pieces).decode("utf-8", "replace")
     return out[1:] if prefix and out[:1] == " " else out
 
 
@@ -525,23 +556,18 @@ def encode(docs: DataFrame, model: Model, *, text_col: str = "text", tokens_col:
 
     def counted(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        seen: set = set()
-
-        def flush():
-            return pa.record_batch([pa.array(list(seen), pa.string())], names=["word"])
-
+        seen = pa.array([], pa.string())
         for b in batches:
-            for t in b.column(0):
-                if t.is_valid:
-                    seen.update(split(t.as_py()))
-                if len(seen) > 100_000:
-                    yield flush()
-                    seen.clear()
-        yield flush()
+            seen = pc.unique(pa.concat_arrays([seen, pc.unique(split.lists(b.column(0).to_pylist()).flatten())]))
+            if len(seen) > 100_000:
+                yield pa.record_batch([seen], names=["word"])
+                seen = seen.slice(0, 0)
+        yield pa.record_batch([seen], names=["word"])
 
     at_encoded = fresh(spark, "encoded-words")
-    words = docs.select(text_col).mapInArrow(counted, "word string").distinct()
+    words = docs.select(text_col).mapInArrow(counted, "word string").filter("word <> ''").distinct()
     # dealt anew: the words of a partition are all there is to explode there
     encoded = materialise(lattice(words.repartition(F.col("word")), model, packed=True), "encoded-words", path=at_encoded)
     folder, bits = fresh(spark, "dictionary"), max(1, -(-encoded.count() // PART_WORDS) - 1).bit_length()
@@ -559,30 +585,24 @@ def encode(docs: DataFrame, model: Model, *, text_col: str = "text", tokens_col:
         import numpy as np
         import pyarrow as pa
 
-        table, pieces = Dictionary(folder, bits), np.empty(len(texts), object)
-        pieces[:] = texts
+        table, pieces = Dictionary(folder, bits), pa.array(texts, pa.binary())
         for b in batches:
-            tokens, decoded, held, size = [], [], [], 0
-
-            def finish() -> None:
-                known = table.look_up({w for f in held if f for w in f})
-                for f in held:
-                    x = None if f is None else b"".join([known[w] for w in f])
-                    tokens.append(x)
-                    if decode_to:
-                        decoded.append(None if x is None else _joined(pieces, np.frombuffer(x, "<i4"), prefix))
-                held.clear()
-
-            for t in b.column(at):
-                t = t.as_py()
-                held.append(None if t is None else split(t))
-                size += len(t or "")
-                if size > TOGETHER:
-                    finish()
-                    size = 0
-            finish()
-            more = [pa.array(decoded, pa.string())] if decode_to else []
-            yield pa.record_batch([*b.columns, pa.array(tokens, pa.binary()), *more], names=[f.name for f in schema])
+            lists = split.lists(b.column(at).to_pylist())
+            words = lists.values.dictionary_encode()
+            ids = table.look_up(words.dictionary).take(words.indices)
+            # where the ids of each text end, in bytes; those of all texts lie behind one another
+            ends = np.frombuffer(ids.buffers()[1], np.int32)[np.asarray(lists.offsets)].tolist()
+            data = memoryview(ids.buffers()[2] or b"")
+            valid = lists.is_valid().to_pylist()
+            tokens = pa.array([bytes(data[x:y]) if v else None for x, y, v in zip(ends, ends[1:], valid)], pa.binary())
+            if not decode_to:
+                yield pa.record_batch([*b.columns, tokens], names=[f.name for f in schema])
+                continue
+            spelt = pieces.take(pa.array(np.frombuffer(data, "<i4", ends[-1] // 4)))
+            places = np.frombuffer(spelt.buffers()[1], np.int32)[np.array(ends) // 4].tolist()
+            letters = memoryview(spelt.buffers()[2] or b"")
+            decoded = pa.array([_joined([letters[x:y]], prefix) if v else None for x, y, v in zip(places, places[1:], valid)], pa.string())
+            yield pa.record_batch([*b.columns, tokens, decoded], names=[f.name for f in schema])
 
     return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(filled, schema)
 
@@ -601,7 +621,7 @@ def decode(docs: DataFrame, model: Model, *, tokens_col: str = "tokens", out_col
         pieces = np.empty(len(texts), object)
         pieces[:] = texts
         for b in batches:
-            out = [_joined(pieces, np.frombuffer(x.as_py(), "<i4"), prefix) if x.is_valid else None for x in b.column(at)]
+            out = [_joined(pieces[np.frombuffer(x.as_py(), "<i4")].tolist(), prefix) if x.is_valid else None for x in b.column(at)]
             yield pa.record_batch([*b.columns, pa.array(out, pa.string())], names=[f.name for f in schema])
 
     return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(decoded, schema)

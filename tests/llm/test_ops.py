@@ -533,6 +533,7 @@ def test_dictionary_is_read_in_parts():
     """Without a mounted folder a task holds HELD_PARTS parts at most."""
     import struct
 
+    import pyarrow as pa
     from terraframe.llm import sentencepiece_lattice as sl
     from xxhash import xxh3_64_intdigest
 
@@ -545,10 +546,11 @@ def test_dictionary_is_read_in_parts():
         files[f"f/part-{k}"] = struct.pack("<Q", len(mine)) + np.array([h for h, _ in mine], "<u8").tobytes() + ends.astype("<u4").tobytes() + b"".join(ids)
     table = sl.Dictionary("f", bits)
     table.mapped = files.get
-    assert table.look_up(set(words)) == {w: w.encode() for w in words} and len(table.parts) == sl.HELD_PARTS
-    assert table.look_up({"w5", "w7"}) == {"w5": b"w5", "w7": b"w7"}
+    asked = pa.array([words[i * 7 % 3000] for i in range(3000)] + [""])
+    assert table.look_up(asked).to_pylist() == [w.encode() for w in asked.to_pylist()] and len(table.parts) == sl.HELD_PARTS
+    assert table.look_up(pa.array(["w5", "", "w7"])).to_pylist() == [b"w5", b"", b"w7"]
     with pytest.raises(RuntimeError):
-        table.look_up({"missing"})
+        table.look_up(pa.array(["missing"]))
 
 
 def test_both_styles_of_folding_agree(spark):
