@@ -252,8 +252,11 @@ def brute_quality(text):
 def test_quality_equals_brute_force(docs, crowded, corpus):
     from terraframe.llm.quality_rules import judge
 
-    got = judge(crowded)
-    assert got.columns[:-1] == crowded.columns
+    got = judge(crowded, into="verdict")
+    assert got.columns == [*crowded.columns, "verdict"]
+    assert all(r[c] == -1 for r in got.collect() for c in crowded.columns if c not in docs.columns)
+    assert judge(crowded).columns == [*(c for c in crowded.columns if c != "rules"), "rules"]
+    assert judge(docs.limit(0)).collect() == []
     want = collections.Counter((d, *brute_quality(t)) for d, t, *_ in corpus)
     rows = judge(docs).select("doc_id", "rules.*").collect()
     assert collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows) == want
@@ -368,10 +371,47 @@ def test_mixing(docs, crowded, corpus, empty):
     assert abs(sum(target.values()) - sum(sizes.values())) < 1e-3
     assert all(abs(taken[s] - target[s]) <= biggest[s] / 2 + 1 for s in target)
     assert sorted(map(str, mix(docs.repartition(5)).collect())) == sorted(map(str, got))
-    assert sorted(map(str, mix(crowded, keep=["held", "key"]).drop("held", "key").collect())) == sorted(map(str, got))
+    assert sorted(map(str, mix(crowded, keep=crowded.columns).drop("kept").collect())) == sorted(map(str, got))
     assert mix(empty).collect() == []
 
 
+def test_flow_is_cheapest_in_random_cases():
+    """The least cost by the cuts: what k passes can serve is the least, over sets of sources, of the others' quotas and k times what the set's patterns hold."""
+    import itertools
+    import random
+
+    from terraframe.llm.mixing import flow
+
+    rnd = random.Random(6)
+    for _ in range(150):
+        sources = list(range(rnd.randrange(1, 5)))
+        members = {p: sorted(rnd.sample(sources, rnd.randrange(1, len(sources) + 1))) for p in range(rnd.randrange(1, 9))}
+        capacity = {p: rnd.randrange(0, 12) for p in members}
+        quota = {s: rnd.randrange(0, 25) for s in sources}
+        got = flow(capacity, members, quota)
+        assert all(s in members[p] for p, s in got) and all(sum(v for (_, t), v in got.items() if t == s) <= quota[s] for s in sources)
+        sets = [set(c) for n in range(len(sources) + 1) for c in itertools.combinations(sources, n)]
+        most = [min(sum(q for s, q in quota.items() if s not in t) + k * sum(capacity[p] for p in members if t & set(members[p])) for t in sets) for k in range(4)]
+        used = {p: sum(v for (q, _), v in got.items() if q == p) for p in members}
+        assert sum((i // capacity[p] + 1) ** 2 for p in members for i in range(used[p])) == sum((2 * k - 1 + (k - 1) ** 2) * (most[k] - most[k - 1]) for k in (1, 2, 3))
+        assert sum(used.values()) == most[3]
+
+
+def test_mixing_keeps_rows_without_sources(spark, monkeypatch):
+    from terraframe.llm import mixing
+
+    rows = [(i, "w " * 10, None if i % 9 == 0 else [] if i % 9 == 1 else [["a"], ["a", "b"], ["b", "c"], ["c", None], ["d", "a"], ["d"]][i % 6]) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
+    for most in (200_000, 2):  # all patterns as they are, or two of them
+        monkeypatch.setattr(mixing, "MAX_PATTERNS", most)
+        got = mixing.mix(df, sources=F.col("sources")).collect()
+        assert sorted(r.doc_id for r in got) == list(range(90))
+        assert all(r.taken == 0 and r.target is None and r.source_size is None for r in got if r.doc_id % 9 < 2)
+        assert all(set(r.passes) <= set(r.sources) and r.taken <= 30 for r in got)
+        by, target = collections.Counter(s for r in got for s in r.passes), {r.sources[0]: r.target for r in got if r.sources}
+        assert all(abs(10 * by[s] - t) <= 16 for s, t in target.items())  # half a document where a pattern is split
+
+
 def test_mixing_overlapping_sources(spark):
     from terraframe.llm.mixing import mix
 
@@ -649,3 +689,39 @@ def test_pipeline_equals_stages_by_brute_force(spark, docs, tmp_path, corpus):
     rows = out["sentencepiece"].collect()
     assert len(rows) == out["mixing"].count() and all(r.round_trip and np.frombuffer(bytes(r.tokens), "<i4").tolist() == sp.encode(texts[r.doc_id]) for r in rows)
     assert p.run(spark, str(tmp_path)).count() == len(rows)
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, docs, crowded, tmp_path):
+    """Extra columns named like internal ones come through every stage unchanged, and change nothing."""
+    import corpus_pipeline as p
+
+    for k, df in enumerate((docs, crowded.withColumns({c: F.lit(-1) for c in ("rules", "found", "passes", "kept", "passes_", "row", "cap", "parts", "n_removed", "kept_sha256", "size", "_w")}))):
+        df.write.parquet(str(tmp_path / str(k) / "documents.parquet"))
+        extra = [c for c in df.columns if c not in docs.columns]
+        for name, stage in p.STAGES[:-1]:
+            after = stage(spark, spark.read.parquet(str(tmp_path / str(k) / "documents.parquet") if name == "quality_rules" else at), "")  # noqa: F821
+            at = str(tmp_path / str(k) / name)
+            after.write.parquet(at)
+            rows = spark.read.parquet(at)
+            assert rows.columns == df.columns
+            assert all(r[c] == -1 for r in rows.collect() for c in extra)
+            if k:
+                assert sorted(map(str, rows.select(docs.columns).collect())) == sorted(map(str, spark.read.parquet(str(tmp_path / "0" / name)).collect()))
+        assert p.encoded(spark, spark.read.parquet(at), "").count() == rows.count()
+
+
+def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
+    import corpus_pipeline as p
+
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    assert p.run(spark, str(tmp_path)).collect() == []
+
+
+def test_different_texts_of_one_id_stay(spark):
+    import corpus_pipeline as p
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, a, "en", "r", 1), (2, a, "en", "s", 1)]
+    for order in (rows, rows[::-1]):
+        got = p.near_duplicates(spark, spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long"), "")
+        assert sorted(map(tuple, got.collect())) == [(1, a, "en", "r", 1), (1, b, "en", "s", 1)]
