@@ -144,19 +144,6 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, weight: str, values: li
     return out.select(*[F.col(c) for c in rows.columns], *[picked[v].alias(v) for v in values])
 
 
-def stand_ins(classes: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """(classes, top): a null ``rep`` becomes a number of its own above ``top``, the largest given one.
-
-    So a class without an id can be linked, but a component's smallest node is above ``top`` only if no class of it has an id.
-    """
-    top, missing = classes.agg(F.max("rep"), F.count(F.when(F.col("rep").isNull(), 1))).first()
-    top = 0 if top is None else top
-    if missing:
-        number = F.lit(top).cast("long") + F.monotonically_increasing_id() + 1
-        classes = materialise(classes.withColumn("rep", F.coalesce("rep", number)), name)
-    return classes, top
-
-
 def connected_components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     """(node, component) for undirected links (u, v): component is the smallest node reachable.
 
@@ -178,14 +165,18 @@ def connected_components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
         return moved.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    links = materialise(edges.filter("u != v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct(), "links")
+    path = fresh(spark, "links")
+    links = materialise(edges.filter("u != v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct(), "links", path=path)
     was = mark(links)
     for _ in range(rounds):
-        links = materialise(stars(stars(links, True), False), "links")
+        old, path = path, fresh(spark, "links")
+        links = materialise(stars(stars(links, True), False), "links", path=path)
+        remove(spark, old)
         now = mark(links)
         if now == was:
             break
         was = now
     else:
         raise RuntimeError(f"links did not settle in {rounds} rounds")
+    leave(spark, path)
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select("v", "v").distinct())

@@ -7,13 +7,15 @@ two bits lie within Manhattan distance two. The grid range-join finds them witho
 distance two on an integer grid have a common point within distance one of both, so each class posts to its
 own cell and the cells next to it, and a class is a candidate if a cell holds another class too.
 
-Candidates are verified exactly, again without pairs: fingerprints differ by at most two bits if and
-only if they share a fingerprint within one bit of both. At most 65 classes are within one bit of a given
-value, so those groups are bounded by construction.
+Candidates are verified exactly: in cells of up to SMALL fingerprints each with each, by one expression over the cell; fingerprints of larger
+cells through their one-bit neighbours, as two differ by at most two bits if and only if they share a value within one bit of both. At most 65
+fingerprints are within one bit of a given value, so those groups are bounded by construction. Either way no pairs are emitted but links.
+The grid's cells tell fingerprints apart up to some 10 ** 8 of them; beyond that most cells are crowded, and the neighbours do the work: 65 rows each.
 
 Nulls: a null or wordless text has fingerprint zero and is linked like any other. A row with a null id
 keeps its fingerprint and links like any other; its component is null if no row of the component has an id. Rows that
-repeat an id share its component. Fewer words than ``shingle``: the whole sequence is the only shingle.
+repeat an id, with one text or several, are rows of their own. Fewer words than ``shingle``: the whole sequence is the only shingle. The bits of
+very long texts are counted in blocks. An empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,13 +23,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructType
 
-from .common import arrow_batches, attach, connected_components, materialise, stand_ins
+from .common import arrow_batches, attach, connected_components, fresh, leave, materialise, quoted
 
 BITS = 64
 SEGMENT_BITS = 4
 SEGMENTS = BITS // SEGMENT_BITS
 SEED = 42
+#: Fingerprints of a cell that are compared each with each.
+SMALL = 32
 #: Hashes whose bits are counted at once, to bound memory for very long texts.
 BLOCK = 1 << 16
 
@@ -54,7 +59,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id long, fp long): the fingerprint of every row, as a signed 64-bit value."""
+    """(id, fp long): the fingerprint of every row, as a signed 64-bit value."""
     arrow_batches(docs.sparkSession)
 
     def hashed(batches: Iterator) -> Iterator:
@@ -64,7 +69,8 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", t
             fps = [fingerprint(t.as_py(), shingle) for t in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array([f - (1 << BITS) if f >> 63 else f for f in fps], pa.int64())], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(hashed, "id long, fp long")
+    slim = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    return slim.mapInArrow(hashed, StructType([slim.schema["id"]]).add("fp", LongType()))
 
 
 def grid_cells(fp: Column) -> tuple[Column, Column]:
@@ -86,27 +92,43 @@ def midpoints(fp: Column) -> Column:
     return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: fp.bitwiseXOR(m))
 
 
-def link(classes: DataFrame) -> DataFrame:
-    """Links (u, v) between representatives of classes (fp, rep) that differ by one or two bits, enough to connect them all."""
+def link(classes: DataFrame, *, small: int = SMALL) -> DataFrame:
+    """Links (u, v) between fingerprints (column fp, each once) that differ by one or two bits, enough to connect them all."""
     cell, own = grid_cells(F.col("fp"))
-    posted = classes.select("fp", "rep", own.alias("own")).select("fp", "rep", F.explode(cell).alias("cell"))
-    # where a cell holds two fingerprints, the bits they don't share are their distance
-    shared = posted.groupBy("cell").agg(F.count("*").alias("n"), F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any"))
-    shared = shared.filter((F.col("n") > 2) | ((F.col("n") == 2) & (F.bit_count(F.col("all").bitwiseXOR(F.col("any"))) <= 2))).select("cell", "n", F.lit(True).alias("hit"))
-    near = attach(posted, shared, "cell", "n", ["hit"], F.col("fp")).filter("hit").groupBy("fp", "rep").agg(F.count("*").alias("cells"))
-    # verified exactly: a shared value within one bit of both
-    at = near.select("rep", F.explode(midpoints(F.col("fp"))).alias("mid"))
-    stars = at.groupBy("mid").agg(F.collect_list("rep").alias("reps")).filter("size(reps) > 1").select(F.array_min("reps").alias("v"), F.explode("reps").alias("u"))
-    return stars.filter("u > v").select("u", "v").distinct()
+    posted = classes.select("fp", own.alias("own")).select("fp", F.explode(cell).alias("cell"))
+    shared = posted.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).filter("n > 1")
+    path = fresh(classes.sparkSession, "cells")
+    shared = materialise(shared, "cells", path=path)
+    leave(classes.sparkSession, path)
+    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= 2
+    # cells of two are verified where they are
+    pairs = shared.filter((F.col("n") == 2) & near(F.col("low"), F.col("high"))).select(F.col("high").alias("u"), F.col("low").alias("v"))
+    held = attach(posted, shared.filter("n > 2").select("cell", "n"), "cell", "n", ["n"], F.col("fp")).filter("n IS NOT NULL")
+    # cells of a few: pair by pair in one expression over at most ``small`` values
+    few = held.filter(F.col("n") <= small).groupBy("cell").agg(F.collect_list("fp").alias("fps"))
+    others = F.transform("fps", lambda a: F.struct(a.alias("u"), F.filter("fps", lambda b: (b < a) & near(a, b)).alias("vs")))
+    pairs = pairs.union(few.select(F.explode(others).alias("x")).select(F.col("x.u").alias("u"), F.explode("x.vs").alias("v")))
+    # crowded cells: through a shared value within one bit of both, of which at most 65 fingerprints are
+    at = held.filter(F.col("n") > small).select("fp").distinct().select("fp", F.explode(midpoints(F.col("fp"))).alias("mid"))
+    stars = at.groupBy("mid").agg(F.collect_list("fp").alias("fps")).filter("size(fps) > 1").select(F.explode("fps").alias("u"), F.array_min("fps").alias("v"))
+    return pairs.union(stars.filter("u > v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint 16 hex digits, component_id), one row per row of ``docs``; links are fingerprints within two bits."""
-    fps = materialise(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "fingerprints")
-    classes = materialise(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
-    classes, top = stand_ins(classes, "classes")
-    comps = connected_components(link(classes))
-    component = F.coalesce("component", "rep")
-    placed = classes.join(comps, classes.rep == comps.node, "left").select("fp", "n", F.when(component <= top, component).alias("component_id"))
+    spark = docs.sparkSession
+    path = fresh(spark, "fingerprints")
+    fps = materialise(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "fingerprints", path=path)
+    leave(spark, path)
+    classes = fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    path = fresh(spark, "classes")
+    classes = materialise(classes, "classes", path=path)
+    comps = connected_components(link(classes.select("fp")))
+    placed = classes.join(comps, classes.fp == comps.node, "left").withColumn("component", F.coalesce("component", "fp"))
+    # the smallest id of each component
+    first = comps.withColumnRenamed("node", "fp").join(classes, "fp").groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("m"))
+    placed = attach(placed, first, "component", "m", ["component_id", "m"], F.col("fp"))
+    placed = placed.select("fp", "n", F.when(F.col("m").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
     out = attach(fps, placed, "fp", "n", ["component_id"], F.col("id"))
+    leave(spark, path)
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

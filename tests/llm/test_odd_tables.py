@@ -1,8 +1,6 @@
 """Odd tables that operators must not leave out parts of."""
 
 import numpy as np
-import pytest
-from pyspark.sql import functions as F
 
 
 def test_toxicity_without_mined_terms(spark):
@@ -41,14 +39,12 @@ def test_embeddings_without_id_link_others(spark):
     assert got == sorted(want, key=str)
 
 
-def test_too_many_lengths_are_refused(spark, monkeypatch):
+def test_different_vectors_of_one_id(spark):
     from terraframe.llm import embedding_dedup as ed
 
-    monkeypatch.setattr(ed, "MAX_LENGTHS", 2)
-    df = spark.range(3).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.col("id").cast("int")), lambda x: F.lit(1.0)).cast("array<float>").alias("embedding"))
-    with pytest.raises(ValueError, match="lengths"):
-        ed.near_duplicates(df)
-    assert ed.near_duplicates(df.filter("vec_id < 2")).count() == 2
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [-1.0, 0.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in ed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
 
 
 def test_simhash_without_id_links_others(spark, monkeypatch):

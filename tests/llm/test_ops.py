@@ -73,9 +73,14 @@ def test_simhash_links_random_fingerprints(spark):
                 v ^= 1 << rnd.randrange(64)
     fps = {i: f for i, f in enumerate(dict.fromkeys(fps))}
     want = brute_components(fps)
-    classes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in fps.items()], "fp long, rep long")
-    got = {r.node: r.component for r in connected_components(link(classes)).collect()}
-    assert {i: got.get(i, i) for i in fps} == want
+    signed = {i: f - (1 << 64) if f >> 63 else f for i, f in fps.items()}
+    classes = spark.createDataFrame([(f,) for f in signed.values()], "fp long")
+    for small in (32, 4, 1):  # crowded cells from 33, 5 or 3 on
+        got = {r.node: r.component for r in connected_components(link(classes, small=small)).collect()}
+        found = collections.defaultdict(list)
+        for i, f in signed.items():
+            found[got.get(f, f)].append(i)
+        assert {i: min(x) for x in found.values() for i in x} == want
 
 
 def test_simhash_empty(empty):
@@ -442,9 +447,9 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
         parent[max(a, b)] = min(a, b)
     want = {i: (int(near[i].sum()), find(parent, i)) for i in range(len(x))} | {i: (0, i) for i, *_ in odd} | {204: (1, 204), 205: (1, 204)}
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").withColumn("rep", F.lit(1)).withColumn("n", F.lit(1))
-    for block, leaf, sample in ((1024, 64, 4096), (8, 4, 50)):
+    for block, leaf, sample in ((1024, 512, 2048), (8, 4, 50), (4, 16, 20)):
         monkeypatch.setattr(ed, "BLOCK", block)
-        monkeypatch.setattr(ed, "LEAF_SAMPLE", leaf)
+        monkeypatch.setattr(ed, "LEAF", leaf)
         monkeypatch.setattr(ed, "SAMPLE", sample)
         got = {r.vec_id: (r.n_links, r.component_id) for r in ed.near_duplicates(df).collect()}
         assert got == want
@@ -452,18 +457,94 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert all(r.n_links == 1 for r in ed.near_duplicates(df.filter("vec_id = 3").union(df.filter("vec_id = 3"))).collect())
 
 
+def manifold(rng, n, dim=24):
+    """Vectors that clump on a curved surface of two dimensions: clusters of clusters, at every scale."""
+    at = rng.uniform(0, 1, (max(1, n // 200), 2))[rng.integers(0, max(1, n // 200), n)] + rng.normal(size=(n, 2)) * 0.004
+    waves = np.concatenate([f(2 * np.pi * k * at) for k in (1, 2, 3) for f in (np.cos, np.sin)], axis=1)
+    return np.concatenate([waves, np.ones((n, dim - waves.shape[1])) * 0.2], axis=1)
+
+
+def brute_vectors(x, threshold):
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= threshold
+    np.fill_diagonal(near, False)
+    parent = {i: i for i in range(len(x))}
+    for i, j in zip(*np.nonzero(np.triu(near))):
+        a, b = find(parent, int(i)), find(parent, int(j))
+        parent[max(a, b)] = min(a, b)
+    return {i: (int(near[i].sum()), find(parent, i)) for i in range(len(x))}
+
+
+def test_traversal_of_clustered_vectors(spark, monkeypatch):
+    """Several rounds of subtrees, node pairs taken whole, and far fewer comparisons than all pairs."""
+    from terraframe.llm import embedding_dedup as ed
+
+    monkeypatch.setattr(ed, "LEAF", 32)
+    monkeypatch.setattr(ed, "MAX_NODES", 24)
+    monkeypatch.setattr(ed, "SAMPLE", 200)
+    seen = {}
+    real = ed.candidates
+
+    def noted(rows, trees, *rest):
+        out = real(rows, trees, *rest)
+        sizes = {r["node"]: r["count"] for r in rows.groupBy("node").count().collect()}
+        seen["work"] = sum(sizes[r.a] * sizes[r.b] for r in out[0].collect())
+        seen["rounds"], seen["whole"] = trees.agg(F.max("round")).first()[0], out[1].count()
+        return out
+
+    monkeypatch.setattr(ed, "candidates", noted)
+    work = {}
+    for n in (1000, 3000, 9000):
+        x = manifold(np.random.default_rng(n), n)
+        df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in ed.near_duplicates(df, threshold=0.999).collect()}
+        assert got == brute_vectors(x, 0.999)
+        work[n] = seen["work"]
+        assert seen["rounds"] >= 1 and seen["whole"] > 0
+    assert work[9000] < work[1000] * 9**1.3 and work[9000] < 9000**2 / 8
+
+
+def test_cosine_is_taken_in_double_precision(spark):
+    """Pairs nearer to the threshold than single precision can tell."""
+    from terraframe.llm.embedding_dedup import near_duplicates
+
+    angle = np.arccos(0.95)
+    rows = [(1, [1.0, 0.0]), (2, [float(np.cos(angle - 2e-9)), float(np.sin(angle - 2e-9))]), (3, [0.0, 0.0, 1.0]), (4, [0.0, float(np.sin(angle + 2e-9)), float(np.cos(angle + 2e-9))])]
+    got = {r.vec_id: r.n_links for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
+def test_any_number_of_lengths(spark):
+    from terraframe.llm.embedding_dedup import near_duplicates
+
+    rows = [(10 * n + k, [1.0] * n if k < 2 else [1.0] * (n - 1) + [-1.0]) for n in range(2, 40) for k in range(3)]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        n, k = divmod(r.vec_id, 10)
+        assert (r.n_links > 0, r.component_id) == ((True, 10 * n) if k < 2 or (n - 2) / n >= 0.95 else (False, r.vec_id))
+
+
 def test_cover_tree_nests_and_halves():
-    from terraframe.llm.embedding_dedup import cover_tree, descend
+    from terraframe.llm.embedding_dedup import Subtree, cover_tree
 
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 8))
     x = np.concatenate([c + rng.normal(size=(60, 8)) * 0.05 for c in centres])
     x /= np.linalg.norm(x, axis=1)[:, None]
-    tree = cover_tree(x, 0.05)
-    assert len(tree) > 12 and all(p < k for k, (p, _) in enumerate(tree))
-    leaves = descend(x, [p for p, _ in tree], x[[c for _, c in tree]])
-    for k in np.unique(leaves):
-        assert np.ptp(x[leaves == k], axis=0).max() < 0.7
+    nodes = cover_tree(x, 2.0, 0.05)
+    assert len(nodes) > 12 and all(p < k for k, (p, *_) in enumerate(nodes))
+    tree = Subtree([p for p, *_ in nodes], x[[c for _, c, _ in nodes]], [r for *_, r in nodes])
+    for k, kids in enumerate(tree.children):
+        if kids:
+            assert nodes[kids[0]][1] == nodes[k][1]  # a node's own centre is among its children's
+            apart = np.linalg.norm(tree.centres[kids][:, None] - tree.centres[kids][None], axis=2)[~np.eye(len(kids), dtype=bool)]
+            assert apart.min() > nodes[kids[0]][2] and nodes[kids[0]][2] <= nodes[k][2] / 2
+    leaf, passed = Subtree.unpack(tree.pack()).descend(x)
+    for rows, k, dist in passed:
+        assert np.allclose(dist, np.linalg.norm(x[rows] - tree.centres[k], axis=1))
+    for k in np.unique(leaf):
+        assert np.ptp(x[leaf == k], axis=0).max() < 0.7 and not tree.children[k]
 
 
 # classifiers
