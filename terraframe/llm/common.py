@@ -12,6 +12,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -25,7 +27,13 @@ HOT_KEYS = 1000
 ARROW_ROWS = 10_000
 ARROW_BYTES = 4 << 20
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go when the query ends; joins whose build side is small in every partition (as measured once it is
+#: shuffled) need no sort; runs that lie sorted in one file a bucket aren't sorted again.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,19 +52,25 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, *, path: str | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the table read back.
+@contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """Settings for a write; those of the session come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
-    Shuffle files of the finished query are released when the write ends.
-    """
+
+def materialise(df: DataFrame, name: str, *, path: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and return the table read back."""
     spark = df.sparkSession
     path = path or fresh(spark, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with writing(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

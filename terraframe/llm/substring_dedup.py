@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import arrow_batches, attach, fresh, leave, materialise, put, quoted, remove
+from .common import arrow_batches, attach, fresh, leave, materialise, put, quoted, remove, writing
 
 WINDOW = 20
 ANCHOR = 6
@@ -133,16 +133,19 @@ class Index:
         held = {"window": self.window, "anchor": self.anchor, "fan_out": self.fan_out, "runs": self.runs, "texts": self.texts, "merges": self.merges}
         put(f"{self.folder}/manifest.json", json.dumps(held).encode())
 
-    def _write(self, kind: str, rows: DataFrame, key: str, tier: int = 0) -> dict:
+    def _write(self, kind: str, rows: DataFrame, keys: list[str], tier: int = 0) -> dict:
+        """Write a table; unless it is dealt out by ``keys`` already, as by an aggregate, its rows are now."""
         name = f"run_{kind}_{uuid.uuid4().hex}"
         buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", f"{self.folder}/{name}").format("parquet").saveAsTable(name)
+        dealt = rows.repartition(buckets, *keys) if kind == "texts" else rows
+        with writing(self.spark):
+            dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{self.folder}/{name}").format("parquet").saveAsTable(name)
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        return {"name": name, "key": key, "buckets": buckets, "tier": tier, "columns": columns}
+        return {"name": name, "key": ", ".join(keys), "buckets": buckets, "tier": tier, "columns": columns}
 
     def append(self, kind: str, rows: DataFrame) -> DataFrame:
         """Write a run, merge what is due, and return the run."""
-        run = self._write(kind, rows, self.KEYS[kind][0])
+        run = self._write(kind, rows, self.KEYS[kind])
         self.runs[kind].append(run)
         return self.spark.table(run["name"])
 
@@ -158,7 +161,7 @@ class Index:
                 rows = rows.groupBy("anchor").agg(F.min("uid").alias("uid"), F.max("stored").alias("stored"))
             else:
                 rows = rows.distinct()
-            self.runs[kind][-self.fan_out :] = [self._write(kind, rows, self.KEYS[kind][0], last[0]["tier"] + 1)]
+            self.runs[kind][-self.fan_out :] = [self._write(kind, rows, self.KEYS[kind], last[0]["tier"] + 1)]
             self.merges += 1
             old += last
         return old
@@ -180,8 +183,6 @@ class Index:
         for i, run in enumerate(self.runs[kind]):
             values = ["uid", "stored"] if kind == "anchors" else []
             right = self.spark.table(run["name"]).select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias(f"_old{i}"), *[F.col(c).alias(f"_{c}{i}") for c in values])
-            if kind == "windows":
-                right = right.distinct()  # of the bucket's own keys
             on = out[keys[0]] == right[f"_{keys[0]}"]
             for k in keys[1:]:
                 on = on & (out[k] == right[f"_{k}"])
@@ -229,7 +230,7 @@ class Index:
         if number >> 63 - BATCH_BITS:
             raise ValueError("too many batches")
         uid = F.monotonically_increasing_id() + F.lit(number << BATCH_BITS)
-        run = self._write("texts", slim.mapInArrow(scanned, schema).withColumn("uid", uid), "uid")
+        run = self._write("texts", slim.mapInArrow(scanned, schema).withColumn("uid", uid), ["uid"])
         self.texts.append(run)
         return self.spark.table(run["name"])
 
@@ -285,14 +286,18 @@ class Index:
 
             tool = zstandard.ZstdDecompressor()
             for b in batches:
-                for uid, id, z, wanted in zip(*(b.column(c) for c in range(4))):
+                found, owners = [], []
+                for row, (z, wanted) in enumerate(zip(b.column(2), b.column(3))):
                     words = tool.decompress(z.as_py()).split()
                     _, of = anchors(word_hashes(words), window, anchor)
                     start = np.flatnonzero(np.isin(_signed(of), np.asarray(wanted.values)))
                     if len(start):
-                        h1, h2 = window_digests(words, start, window)
-                        n = len(start)
-                        yield pa.record_batch([pa.array(h1), pa.array(h2), pa.array(np.full(n, uid.as_py())), pa.repeat(id, n), pa.array(start.astype(np.int32))], names=["h1", "h2", "uid", "id", "start"])
+                        found.append((*window_digests(words, start, window), start))
+                        owners.append(np.full(len(start), row))
+                if found:
+                    h1, h2, start = (np.concatenate(x) for x in zip(*found))
+                    owner = pa.array(np.concatenate(owners))
+                    yield pa.record_batch([pa.array(h1), pa.array(h2), b.column(0).take(owner), b.column(1).take(owner), pa.array(start.astype(np.int32))], names=["h1", "h2", "uid", "id", "start"])
 
         schema = store.select(F.lit(1).cast("long").alias("h1"), F.lit(1).cast("long").alias("h2"), "uid", "id", F.lit(1).alias("start")).schema
 
