@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Labelled rows taken per class, and the longest text taken, in characters: at most
-#: 2 * SAMPLE_ROWS * SAMPLE_CHARS characters reach the driver, whatever the corpus holds.
+#: Labelled rows taken per class, and characters taken of a text: at most 2 * SAMPLE_ROWS * SAMPLE_CHARS
+#: characters reach the driver, whatever the corpus holds. Of a longer text a piece at a seeded place is taken; no text is left out for its length.
 SAMPLE_ROWS = 2000
 SAMPLE_CHARS = 12_000
 
@@ -16,12 +16,18 @@ def held_out(doc_id: Column, divisor: int, remainder: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, remainder: int, *, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """([(text, label)], {label: rows}) from rows that aren't held out: a seeded sample per class, and how many rows each class has."""
+    """([(text, label)], {label: rows}) from rows that aren't held out: a seeded sample per class, and how many rows each class has.
+
+    An id that the labels name with both labels counts for both; equal label rows count once. A null text is an empty one.
+    """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), divisor, remainder)).select("doc_id", F.col(label).alias("y")).distinct()
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     seeded = [known.filter(F.col("y") == y).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(rows) for y in (0, 1)]
     picked = F.broadcast(seeded[0].union(seeded[1]).withColumnRenamed("doc_id", "_id"))  # 2 * rows ids at most
-    texts = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("_id")).filter(F.char_length("text") <= chars).select("doc_id", "text", "y")
+    long = F.char_length("text")
+    at = F.when(long > chars, F.pmod(F.crc32(F.col("text").cast("binary")), long - chars + 1) + 1).otherwise(1).cast("int")
+    piece = F.coalesce(F.substring("text", at, F.lit(chars)), F.lit("")).alias("text")
+    texts = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("_id")).select("doc_id", piece, "y")
     # repeated ids in documents can't lengthen the sample; the bound holds for any table
     got = texts.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", F.crc32(F.col("text").cast("binary"))).limit(2 * rows).collect()
     return [(r["text"], r["y"]) for r in got], counts

@@ -9,7 +9,7 @@ ranges whose gap is small into one read.
 Records with equal payloads of at least ``min_revisit`` bytes are stored once: the one with the smallest id is a
 response, the others are revisit records that name it. Rows that share the smallest id are all responses.
 
-Nulls: a null payload is empty, a null URL is written as an empty target URI, a null id stays null and is never the
+Extra columns are ignored, whatever their names; ids are whole numbers. Nulls: a null payload is empty, a null URL is written as an empty target URI, a null id stays null and is never the
 smallest. Very long payloads are one record each; an empty table makes no file.
 """
 
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_batches, attach, fresh, materialise
+from .common import arrow_batches, attach, fresh, leave, materialise
 
 #: A file is closed when it holds this many bytes; a range block and a merged read are as large.
 FILE_BYTES = 32 << 20
@@ -116,7 +116,9 @@ def write(pages: DataFrame, folder: str, *, min_revisit: int = 100, id_col: str
 def read(index: DataFrame, folder: str, *, payloads: bool = True) -> DataFrame:
     """The records (columns RECORD) of the selected rows of an index; ``payloads`` false leaves that column null."""
     block = F.expr(f"offset div {BLOCK_BYTES}")
-    asked = index.select("file", block.alias("block"), "offset", "length").repartition(F.col("file"), F.col("block")).sortWithinPartitions("file", "offset")
+    # as many partitions as the records that are pointed to need, not the slim rows that point to them
+    parts = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // BLOCK_BYTES))
+    asked = index.select("file", block.alias("block"), "offset", "length").repartition(parts, F.col("file"), F.col("block")).sortWithinPartitions("file", "offset")
 
     def spans(rows: list[tuple]) -> Iterator[list[tuple]]:
         span: list[tuple] = []
@@ -141,6 +143,8 @@ def read(index: DataFrame, folder: str, *, payloads: bool = True) -> DataFrame:
             rows = list(zip(*(b.column(c).to_pylist() for c in ("file", "offset", "length"))))
             for span in spans(rows):
                 if span[0][0] != name:
+                    if source is not None:
+                        source.close()
                     name, source = span[0][0], store.open_input_file(f"{base}/{span[0][0]}")
                 first, last = span[0][1], span[-1][1] + span[-1][2]
                 data = source.read_at(last - first, first)
@@ -148,6 +152,8 @@ def read(index: DataFrame, folder: str, *, payloads: bool = True) -> DataFrame:
                 if not payloads:
                     found = [x[:-1] + (None,) for x in found]
                 yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*found), schema)], schema=schema)
+        if source is not None:
+            source.close()
 
     return asked.select("file", "offset", "length").mapInArrow(fetched, RECORD)
 
@@ -155,4 +161,5 @@ def read(index: DataFrame, folder: str, *, payloads: bool = True) -> DataFrame:
 def archive(pages: DataFrame, **columns: str) -> DataFrame:
     """Write ``pages`` as WARC in the shared folder and read every record back by the index (columns RECORD without payload)."""
     folder = fresh(pages.sparkSession, "warc")
+    leave(pages.sparkSession, folder)
     return read(write(pages, folder, **columns), folder, payloads=False).drop("payload")

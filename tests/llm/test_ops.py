@@ -308,15 +308,16 @@ def test_sharding_equals_a_walk_round_the_ring(spark):
 
     n, shards, vnodes = 1000, 5, 8
     docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
-    keys = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    keys = {r.doc_id: (r.h, r.k) for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h"), F.xxhash64("doc_id", F.crc32(F.lit("x").cast("binary")), F.lit(2).cast("long")).alias("k")).collect()}
     nodes = sharding.ring(shards, vnodes)
     arc = lambda p: sum(q < p for q, _ in nodes) % len(nodes)
     place = lambda p: p - sharding.RING if p > nodes[-1][0] else p
-    order = sorted(keys, key=lambda d: (arc(keys[d] % sharding.RING), place(keys[d] % sharding.RING), keys[d], d))
+    pos = {d: h % sharding.RING for d, (h, _) in keys.items()}
+    order = sorted(keys, key=lambda d: (arc(pos[d]), place(pos[d]), keys[d][1] % sharding.SUBS, keys[d][1], d))
     room = [n // shards + (s < n % shards) for s in range(shards)]
     want = {}
     for d in order:
-        s = next(s for s in sharding.preference(nodes, arc(keys[d] % sharding.RING)) if room[s])
+        s = next(s for s in sharding.preference(nodes, arc(pos[d])) if room[s])
         room[s] -= 1
         want[d] = s
     assert {r.doc_id: r.shard for r in sharding.assign(docs, shards=shards, vnodes=vnodes).collect()} == want
@@ -325,9 +326,22 @@ def test_sharding_equals_a_walk_round_the_ring(spark):
 def test_few_keys_move_when_a_shard_is_added(spark):
     from terraframe.llm.sharding import assign
 
-    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
-    a, b = ({r.doc_id: r.shard for r in assign(docs, shards=k).collect()} for k in (8, 9))
-    assert sum(a[d] != b[d] for d in a) < 0.5 * len(a)
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    a, b = ({r.doc_id: r.shard for r in assign(docs, shards=k).collect()} for k in (16, 17))
+    assert sum(a[d] != b[d] for d in a) < 0.16 * len(a)  # 1 / 17 is the least
+
+
+def test_one_id_may_hold_most_rows(spark):
+    from terraframe.llm.sharding import assign
+
+    same = spark.range(4000).select(F.lit(7).alias("doc_id"), F.when(F.col("id") % 2 == 0, "x").otherwise(F.col("id").cast("string")).alias("text"))
+    got = assign(same.union(spark.range(500).selectExpr("CAST(NULL AS INT)", "'same'")).repartition(5)).collect()
+    per = collections.Counter(r.shard for r in got)
+    assert len(got) == 4500 and max(per.values()) - min(per.values()) <= 1
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
 # mixing
@@ -585,6 +599,60 @@ def test_toxicity(spark):
     assert classify(docs.limit(0), labels).collect() == []
 
 
+def test_scores_equal_a_plain_count(spark):
+    """Toxicity: every term sought word by word, in whole texts."""
+    import math
+    import re
+
+    from terraframe.llm import toxicity
+
+    terms = ["idiot", "grum*", "scum", "gru*"]
+    groups = [[0], [2]]
+    n = len(terms) + len(toxicity.PATTERNS) + len(groups) + 2
+    model = {"terms": terms, "groups": groups, "coefficients": [0.3 * (i + 1) * (-1) ** i for i in range(n)], "intercept": -0.7}
+    texts = ["", None, "An IDIOT, idiot idiots.", "grum grumpy grumble Grüm !!!! gru", "you are an idiot!!! shut up", "scum" * 3 + " scum_scum scum1 1scum " + "x " * 9000 + "scum", "agrumb grumgrumgrum"]
+    got = {r.id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        low = (t or "").lower()
+        found = re.findall(r"[^\W\d_]+", low)
+        counts = [sum(w.startswith(x[:-1]) and len(w) > len(x) - 1 if x.endswith("*") else w == x for w in found) for x in terms]
+        hits = [len(re.findall(p, low)) for p in toxicity.PATTERNS.values()]
+        x = [math.log1p(v) for v in (*counts, *hits, *(sum(counts[k] for k in g) for g in groups), sum(c > 0 for c in counts))] + [float(any(counts))]
+        z = model["intercept"] + sum(a * b for a, b in zip(model["coefficients"], x))
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-12
+
+
+def test_compression_scores_equal_plain_sizes(spark):
+    """Compression: the sizes of a text's pieces under either dictionary, one call each."""
+    import math
+
+    import zstandard
+    from terraframe.llm import compression_classifier as cc
+
+    good, bad = cc.build([("the light of the house and the river " * 40).encode()] * 20), cc.build([("BUY NOW !!! $$$ click " * 60).encode()] * 20)
+    model = {"good": good, "bad": bad, "slopes": [0.4, -1.1], "intercept": 0.2}
+    texts = ["", None, "the light of the river", "BUY NOW " * 2000, "é日本 " * 1500, "the house " * 20_000]
+    got = {r.id: r.score for r in cc.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        sizes = []
+        for d in (good, bad):
+            params = zstandard.ZstdCompressionParameters.from_level(cc.LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0)
+            sizes.append(sum(len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), compression_params=params).compress(data[k : k + cc.PIECE])) for k in range(0, len(data), cc.PIECE)))
+        x = (100 * (sizes[1] - sizes[0]) / sum(sizes), max(0.0, math.log(len(data) / min(sizes) / cc.USUAL))) if data else (0.0, 0.0)
+        z = model["intercept"] + sum(a * b for a, b in zip(model["slopes"], x))
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_long_labelled_texts_are_sampled_in_part(spark):
+    from terraframe.llm.training import labelled_sample
+
+    docs = spark.createDataFrame([(i, "ab" * 50 * (i + 1)) for i in range(20)] + [(20, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(21)] + [(3, 1)], "doc_id long, quality int")
+    sample, counts = labelled_sample(docs, labels, "quality", 10**9, 5, chars=300)
+    assert len(sample) == 21 and counts == {0: 11, 1: 10} and max(len(t) for t, _ in sample) == 300 and ("", 0) in sample
+
+
 def test_label_model_finds_accuracies_and_copies():
     from terraframe.llm.toxicity import label_model
 
