@@ -13,6 +13,10 @@ from collections.abc import Callable, Hashable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
+#: Spans of time over which uses are summed first.
+SPANS = 1024
+
+
 class ByteCache:
     """Least recently used first out, by bytes. A value larger than the budget isn't stored, and its key's old value goes."""
 
@@ -97,7 +101,11 @@ class ViewportReader:
     """Reads windows of rasters through a cache. The key holds the unclipped request and the full path; files that change aren't noticed."""
 
     def __init__(self, read: Callable, cache: ByteCache, spark: SparkSession | None = None) -> None:
+        import inspect
+
         self.read, self.cache, self.latest, self.reads = read, cache, Latest(spark), 0
+        # a reader with a sixth parameter can ask, as it reads, whether it is still the latest
+        self.asks = len(inspect.signature(read).parameters) > 5
 
     def read_latest(self, path: str, layer: str, window: tuple[int, int, int, int], out_w: int, out_h: int) -> bytes:
         key = (path, layer, -1, window, out_w, out_h)
@@ -106,7 +114,7 @@ class ViewportReader:
             found = self.cache.get(key)
             if found is None:
                 self.reads += 1
-                found = self.read(path, layer, window, out_w, out_h)
+                found = self.read(path, layer, window, out_w, out_h, current) if self.asks else self.read(path, layer, window, out_w, out_h)
                 if current():
                     self.cache.set(key, found, len(found))
             return found
@@ -117,11 +125,20 @@ class ViewportReader:
 def lru_residency(log: DataFrame, budget: int, key: str = "key", seq: str = "seq", size: str = "bytes") -> DataFrame:
     """Keys that a byte budget still holds after a log of uses of fixed-size entries: the most recent ones whose sizes fit.
 
-    The running sum is over one row per key, summed first by the key.
+    The running sum is over one row per key, summed first by the key. Sequence numbers are whole numbers or others that have differences.
     """
     last = log.groupBy(key).agg(F.max(seq).alias("last_use"), F.max_by(size, seq).alias("bytes")).filter(F.col("bytes") <= budget)
-    used = F.sum("bytes").over(Window.orderBy(F.desc("last_use")).rowsBetween(Window.unboundedPreceding, 0))
-    return last.withColumn("used", used).filter(F.col("used") <= budget).select(key, "last_use", "bytes")
+    low, high = log.agg(F.min(seq), F.max(seq)).first()
+    if low is None:
+        return last.select(key, "last_use", "bytes")
+    # the running sum in two levels: over the spans of time, of which there are SPANS, and within each
+    span = F.floor((F.lit(high) - F.col("last_use")) / F.lit(max(1.0, (high - low + 1) / SPANS)))
+    last = last.withColumn("span", span)
+    sums = last.groupBy("span").agg(F.sum("bytes").alias("n"))
+    sums = sums.select("span", (F.sum("n").over(Window.orderBy("span")) - F.col("n")).alias("before")).filter(F.col("before") <= budget)
+    used = F.sum("bytes").over(Window.partitionBy("span").orderBy(F.desc("last_use")).rowsBetween(Window.unboundedPreceding, 0))
+    near = last.join(F.broadcast(sums), "span").withColumn("used", F.col("before") + used)
+    return near.filter(F.col("used") <= budget).select(key, "last_use", "bytes")
 
 
 def latest_request(log: DataFrame, viewport: str = "viewport", seq: str = "seq", request: str = "request") -> DataFrame:

@@ -40,6 +40,22 @@ def transform_coords(spark, sf_dir):
     return places(spark, sf_dir).select("id", moved.alias("c")).select("id", F.round("c.x", 6).alias("mx"), (F.round("c.y", 6) + 0.0).alias("my"), "c.z", "c.m")
 
 
+@query(f"""WITH {PLACES} SELECT id, round(CASE id % 3 WHEN 0 THEN {_X} WHEN 1 THEN degrees(x * 1000 / 6378137) ELSE x END, 6) + 0::DOUBLE AS tx,
+  round(CASE id % 3 WHEN 0 THEN {_Y} WHEN 1 THEN degrees(2 * atan(exp(y * 1000 / 6378137)) - pi() / 2) ELSE y END, 6) + 0::DOUBLE AS ty FROM places""")
+def transform_records(spark, sf_dir):
+    """Every row's own record says where its position comes from: degrees, metres, or an unknown system that is asked for itself."""
+    k = F.col("id") % 3
+    site = C.make(None, None, None, F.concat(F.lit("site "), F.col("id").cast("string")))
+    wgs = C.parse_wkt(F.concat(F.lit('GEOGCS["World",DATUM["D",SPHEROID["S",6378137,298.25]],AUTHORITY["EPSG","4326"]]')))
+    source = F.when(k == 0, wgs).when(k == 1, C.from_epsg(F.lit(3857))).otherwise(site)
+    target = F.when(k == 0, C.from_epsg(F.lit(3857))).when(k == 1, C.from_epsg(F.lit(4326))).otherwise(site)
+    scale = F.when(k == 1, 1000.0).otherwise(1.0)
+    none = F.lit(None).cast("double")
+    coord = F.struct((F.col("x") * scale).alias("x"), (F.col("y") * scale).alias("y"), none.alias("z"), none.alias("m"))
+    p = places(spark, sf_dir).select("id", F.array(coord).alias("c"), source.alias("source"), target.alias("target"))
+    return p.select("id", C.transform_coords(F.col("c"), F.col("source"), F.col("target"))[0].alias("t")).select("id", (F.round("t.x", 6) + 0.0).alias("tx"), (F.round("t.y", 6) + 0.0).alias("ty"))
+
+
 @query(f"WITH {PLACES} SELECT id, round(x, 9) AS x, round(y, 9) AS y FROM places")
 def round_trip(spark, sf_dir):
     """There and back again, to nine decimals of a degree."""

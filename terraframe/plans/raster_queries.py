@@ -116,7 +116,7 @@ def geotransform_from_tags(spark, sf_dir):
 def worldfile_affine(spark, sf_dir):
     """Every fourth file has five numbers and is none."""
     p = table(spark, sf_dir, "part")
-    text = F.concat_ws("\n", F.col("p_size").cast("string"), F.lit("0.5"), F.lit(" 0.25 "), F.lit("-3"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 4 != 0, "198.75\r\n"))
+    text = F.concat_ws("\n", F.col("p_size").cast("string"), F.lit("0.5"), F.lit(" 0.25 "), F.lit("-3"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 4 != 0, "-41.5\r\n"))
     return p.select(F.col("p_partkey").alias("id"), R.from_world_file(text).alias("t")).select("id", "t.ox", "t.a", "t.e")
 
 

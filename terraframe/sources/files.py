@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import posixpath
+import shutil
+import tempfile
+from contextlib import contextmanager
+
+
+def shared(spark) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where both are on one machine is one made if that is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+        at = f"file://{at}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
 
 
 def store(path: str):
@@ -21,11 +38,26 @@ def read(path: str, offset: int = 0, length: int | None = None) -> bytes:
         return f.read_at(f.size() - offset if length is None else length, offset)
 
 
+@contextmanager
+def opened(path: str):
+    """``fetch(offset, length)`` on a file that stays open; it returns less at the end of the file."""
+    files, at = store(path)
+    with files.open_input_file(at) as f:
+        yield lambda offset, length: f.read_at(length, offset)
+
+
 def size(path: str) -> int:
     files, at = store(path)
     return files.get_file_info(at).size or 0
 
 
+def version(path: str) -> tuple[int, int]:
+    """Length and time of the last change."""
+    files, at = store(path)
+    info = files.get_file_info(at)
+    return info.size or 0, info.mtime_ns or 0
+
+
 def exists(path: str) -> bool:
     from pyarrow import fs
 

@@ -15,13 +15,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schema as S
-from ..functions import crs as C
+from ..functions import crs as C, wkt as W
 from ..functions.probe import resolve
+from ..operators.viewport import ByteCache
 from . import files, geojson, geopackage, geometry as G, geotiff, shapefile, worldimage
 
 #: Records or rows in a partition, and rows in an Arrow batch.
 PARTITION_ROWS = 50_000
 BATCH_ROWS = 2000
+#: A GeoJSON file longer than this is dealt out in chunks of this size.
+SPLIT_BYTES = 16 << 20
 EXTENSIONS = {"geojson": (".geojson", ".json"), "shapefile": (".shp",), "geopackage": (".gpkg",), "geotiff": (".tif", ".tiff"), "worldimage": (".png", ".jpg", ".jpeg")}
 
 
@@ -36,12 +39,16 @@ def _paths(path: str, fmt: str) -> list[str]:
 
 
 def _geojson_rows(part: Part, extent) -> Iterator[tuple]:
-    root = geojson.parse(files.read(part.path).decode("utf-8-sig"), part.path)
     try:
-        found = geojson.features(root)
+        if part.first is None:
+            found, first = geojson.features(geojson.parse(files.read(part.path).decode("utf-8-sig"), part.path)), 0
+        else:
+            start, end, first = part.first
+            text = files.read(part.path, start, end - start).decode("utf-8")
+            found = [geojson.feature(f) for f in geojson.parse(f"[{text}]", part.path)]
     except G.Malformed as error:
         raise G.Malformed(f"{part.path}: {error}") from error
-    for seq, (id, geometry, declared, attributes) in enumerate(found):
+    for seq, (id, geometry, declared, attributes) in enumerate(found, first):
         own = G.bounds(geometry)
         of = own or (declared and (declared["minx"], declared["miny"], declared["maxx"], declared["maxy"]))
         if extent is None or G.intersects(of, extent):
@@ -101,6 +108,7 @@ class FeatureReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.fmt, self.path, self.layer = options["kind"], options["path"], options.get("layer")
         self.extent = tuple(map(float, options["extent"].split(","))) if options.get("extent") else None
+        self.ranges = json.loads(options.get("ranges", "{}"))
 
     def partitions(self) -> list[Part]:
         out = []
@@ -112,7 +120,7 @@ class FeatureReader(DataSourceReader):
                             out += [Part(path, x["layer"], *(r or (None, None))) for r in p.ranges(x["layer"], PARTITION_ROWS)]
             elif self.layer in (None, files.stem(path)):
                 if self.fmt == "geojson":
-                    out.append(Part(path))
+                    out += [Part(path, None, tuple(r)) for r in self.ranges[path]] if path in self.ranges else [Part(path)]
                 else:
                     kit = shapefile.sidecars(path)
                     shapefile.header(files.read(path, 0, 100))
@@ -162,19 +170,21 @@ class BlockReader(DataSourceReader):
     def partitions(self) -> list[Part]:
         if resolve(self.path) == "worldimage":
             return [Part(self.path)]
-        d = geotiff.directories(files.read(self.path))[self.level]
-        found = geotiff.blocks(d, self.window)
-        return [Part(self.path, None, found[i : i + self.BLOCKS], None) for i in range(0, len(found), self.BLOCKS)]
+        with files.opened(self.path) as fetch:
+            d = geotiff.directories(fetch)[self.level]
+        # a partition carries what its tasks need: the tags, and where its blocks lie
+        found = [(*x, d.places(x[0])) for x in geotiff.blocks(d, self.window)]
+        return [Part(self.path, None, found[i : i + self.BLOCKS], d.slim()) for i in range(0, len(found), self.BLOCKS)]
 
     def read(self, part: Part):
         if part.first is None:
             pixels = worldimage.png(files.read(part.path))
             yield 0, 0, 0, pixels.shape[1], pixels.shape[0], pixels.tobytes()
             return
-        d = geotiff.directories(files.read(part.path))[self.level]
-        for number, x, y, w, h in part.first:
-            pixels = geotiff.block(d, lambda offset, length: files.read(part.path, offset, length), number, w, h)
-            yield number, x, y, w, h, pixels.tobytes()
+        with files.opened(part.path) as fetch:
+            for number, x, y, w, h, places in part.first:
+                pixels = geotiff.block(part.last, [fetch(*p) for p in places], w, h)
+                yield number, x, y, w, h, pixels.tobytes()
 
 
 class BlockSource(DataSource):
@@ -234,6 +244,91 @@ class TableSource(DataSource):
         return TableReader(self.options["path"], schema)
 
 
+def _ranges(spark: SparkSession, path: str) -> tuple[list[tuple[int, int, int]], dict] | None:
+    """([(from byte, to byte, number of the first feature)], the document without its features) of a large GeoJSON file.
+
+    Tasks summarise chunks of the file without knowing how they begin; put together, the summaries say how each begins, and tasks look for
+    the features then. None if no feature array is found in that way; such a document is parsed whole.
+    """
+    total = files.size(path)
+    starts = [(at, min(total, at + SPLIT_BYTES)) for at in range(0, total, SPLIT_BYTES)]
+    chunks = spark.createDataFrame([(i, *s) for i, s in enumerate(starts)], "i int, low long, high long").repartition(len(starts), "i")
+
+    def summarised(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for i, low, high in zip(*(b.column(c).to_pylist() for c in ("i", "low", "high"))):
+                yield pa.record_batch([pa.array([i], pa.int32()), pa.array([json.dumps(geojson.summary(files.read(path, low, high - low)))])], names=["i", "found"])
+
+    # a few numbers for each chunk
+    sums = {r["i"]: json.loads(r["found"]) for r in chunks.mapInArrow(summarised, "i int, found string").collect()}
+    state, begins = (0, 0, 0), []
+    for i, (low, high) in enumerate(starts):
+        begins.append((i, low, high, *state))
+        inside, escaped, depth = sums[i][2 * state[0] + state[1]]
+        state = inside, escaped, state[2] + depth
+    known = spark.createDataFrame(begins, "i int, low long, high long, inside int, escaped int, depth int").repartition(len(starts), "i")
+
+    def sought(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for i, low, high, inside, escaped, depth in zip(*(b.column(c).to_pylist() for c in b.schema.names)):
+                found = geojson.landmarks(files.read(path, low, min(total, high + geojson.AHEAD) - low), high - low, inside, escaped, depth)
+                yield pa.record_batch([pa.array([i], pa.int32()), pa.array([json.dumps([[low + x for x in xs] for xs in found])])], names=["i", "found"])
+
+    # per chunk the few places where a feature array or the outermost level ends or begins
+    arrays, ends = [], []
+    for r in known.mapInArrow(sought, "i int, found string").collect():
+        found = json.loads(r["found"])
+        arrays += found[0]
+        ends += found[1]
+    if not arrays:
+        return None
+    first = max(arrays)
+    last = min((e for e in ends if e >= first), default=None)
+    if last is None:
+        return None
+
+    def elements(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for i, low, high, inside, escaped, depth in zip(*(b.column(c).to_pylist() for c in b.schema.names)):
+                at = geojson.elements(files.read(path, low, high - low), inside, escaped, depth)
+                at = at[(at + low >= first) & (at + low < last)]
+                if len(at):
+                    yield pa.record_batch([pa.array([low + int(at[0])], pa.int64()), pa.array([len(at)], pa.int64())], names=["start", "n"])
+
+    cuts = sorted((r["start"], r["n"]) for r in known.mapInArrow(elements, "start long, n long").collect())
+    out, seq = [], 0
+    for k, (start, n) in enumerate(cuts):
+        end = cuts[k + 1][0] if k + 1 < len(cuts) else last
+        begin = start if k else first
+        out.append((begin, end, seq))
+        seq += n
+    skeleton = files.read(path, 0, first).decode("utf-8-sig") + files.read(path, last).decode()
+    root = geojson.parse(skeleton, path)
+    if not isinstance(root, dict) or root.get("type") != "FeatureCollection":
+        return None
+    # the comma before the next range's first feature isn't this one's
+    return [(a, _before_comma(path, a, b) if k + 1 < len(out) else b, n) for k, (a, b, n) in enumerate(out)] or [(first, last, 0)], root
+
+
+def _before_comma(path: str, low: int, high: int) -> int:
+    """Where what lies before the comma and the spaces in front of ``high`` ends."""
+    step = 64
+    while True:
+        at = max(low, high - step)
+        tail = files.read(path, at, high - at).rstrip()
+        if tail[-1:] == b",":
+            return at + len(tail) - 1
+        if tail or at == low:
+            raise G.Malformed(f"{path} is not valid JSON: a comma is missing between features")
+        step *= 16
+
+
 def register(spark: SparkSession) -> None:
     for source in (FeatureSource, BlockSource, TableSource):
         spark.dataSource.register(source)
@@ -245,6 +340,9 @@ def read_features(spark: SparkSession, path: str, *, layer: str | None = None, e
     options = {"path": path, "kind": format or resolve(path)}
     if layer is not None:
         options["layer"] = layer
+    if options["kind"] == "geojson":
+        ranges = {p: r[0] for p in _paths(path, "geojson") if files.size(p) > SPLIT_BYTES and (r := _ranges(spark, p)) is not None}
+        options["ranges"] = json.dumps(ranges)
     if extent is not None:
         if not (extent[0] <= extent[2] and extent[1] <= extent[3]):
             raise ValueError("the extent is invalid")
@@ -268,9 +366,28 @@ def read_blocks(spark: SparkSession, path: str, *, level: int = 0, window: tuple
     return (reader.option("window", ",".join(map(str, window))) if window else reader).load()
 
 
+_JPEG = (".jpg", ".jpeg")
+
+
+def _from_image_source(image: dict):
+    """Pixels (h, w, 4) of a row of Spark's image source: rows of blue, green and red, or of gray, and perhaps alpha."""
+    import numpy as np
+
+    h, w, n = image["height"], image["width"], image["nChannels"]
+    a = np.frombuffer(image["data"], np.uint8).reshape(h, w, n)
+    out = np.full((h, w, 4), 255, np.uint8)
+    out[..., :3] = a if n == 1 else a[..., 2::-1]
+    if n == 4:
+        out[..., 3] = a[..., 3]
+    return out
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, x, y, w, h, pixels): every image with a world file of a folder as one block, decoded by tasks."""
-    paths = spark.createDataFrame([(p,) for p in _paths(path, "worldimage")], "path string")
+    """(path, x, y, w, h, pixels): every image with a world file of a folder as one block, decoded by tasks; JPEG by Spark's image source."""
+    found = _paths(path, "worldimage")
+    kind = "path string, x int, y int, w int, h int, pixels binary"
+    jpeg = [p for p in found if p.lower().endswith(_JPEG)]
+    paths = spark.createDataFrame([(p,) for p in found if p not in jpeg], "path string")
 
     def decoded(batches):
         import pyarrow as pa
@@ -280,7 +397,22 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
                 a = worldimage.png(files.read(p))
                 yield pa.record_batch([pa.array([p]), *(pa.array([n], pa.int32()) for n in (0, 0, a.shape[1], a.shape[0])), pa.array([a.tobytes()], pa.binary())], names=["path", "x", "y", "w", "h", "pixels"])
 
-    return paths.repartition(F.col("path")).mapInArrow(decoded, "path string, x int, y int, w int, h int, pixels binary")
+    out = paths.repartition(F.col("path")).mapInArrow(decoded, kind)
+    if jpeg:
+
+        def turned(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                for p, image in zip(b.column("path").to_pylist(), b.column("image").to_pylist()):
+                    a = _from_image_source(image)
+                    yield pa.record_batch([pa.array([p]), *(pa.array([n], pa.int32()) for n in (0, 0, a.shape[1], a.shape[0])), pa.array([a.tobytes()], pa.binary())], names=["path", "x", "y", "w", "h", "pixels"])
+
+        # the source names files by URI; the paths are those that were asked for
+        names = F.create_map(*[F.lit(x) for p in jpeg for x in (files.stem(p), p)])
+        images = spark.read.format("image").load(jpeg).select(names[F.regexp_extract("image.origin", r"([^/]+)\.[^./]+$", 1)].alias("path"), "image")
+        out = out.union(images.mapInArrow(turned, kind))
+    return out
 
 
 def pixels(blocks: DataFrame) -> DataFrame:
@@ -303,7 +435,10 @@ def pixels(blocks: DataFrame) -> DataFrame:
 def vector_layers(spark: SparkSession, path: str, *, format: str | None = None) -> DataFrame:
     """Metadata of every layer (columns of ``schema.VECTOR_LAYER``), one task per file."""
     fmt = format or resolve(path)
-    paths = spark.createDataFrame([(p,) for p in _paths(path, fmt)], "path string")
+    register(spark)
+    # a large GeoJSON file is described from its features
+    large = [p for p in _paths(path, fmt) if fmt == "geojson" and files.size(p) > SPLIT_BYTES and _ranges(spark, p) is not None]
+    paths = spark.createDataFrame([(p,) for p in _paths(path, fmt) if p not in large], "path string")
     raw = "path string, source_kind string, layer string, authority string, code string, wkt string, name string, minx double, miny double, maxx double, maxy double, geometry_type string, feature_count long"
 
     def described(batches):
@@ -312,12 +447,27 @@ def vector_layers(spark: SparkSession, path: str, *, format: str | None = None)
                 yield from _batches(iter(_describe(p, fmt)), raw)
 
     found = paths.repartition(F.col("path")).mapInArrow(described, raw)
+    for p in large:
+        found = found.union(_large_geojson(spark, p, raw))
     own = C.make(F.col("authority"), F.col("code"), F.col("wkt"), F.col("name"))
     crs = F.when(F.col("authority").isNull() & F.col("wkt").isNotNull(), C.parse_wkt(F.col("wkt"))).otherwise(own)
     box = F.when(F.col("minx").isNotNull(), F.struct("minx", "miny", "maxx", "maxy"))
     return found.select("path", "source_kind", "layer", crs.alias("crs"), box.alias("bounds"), "geometry_type", "feature_count")
 
 
+def _large_geojson(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``_describe`` gives, summed over the features; the declared box and the reference system are the root's."""
+    _, root = _ranges(spark, path)
+    whole, crs = geojson.declared(root), geojson.crs(root)
+    f = read_features(spark, path, format="geojson")
+    side = lambda s: F.coalesce(F.col(s), F.col("declared_bounds")[s])
+    box = [F.lit(whole[s]) if whole else (F.min if s[:3] == "min" else F.max)(side(s)) for s in ("minx", "miny", "maxx", "maxy")]
+    kinds = F.collect_set("geometry.type")  # seven at most
+    values = [F.lit(path), F.lit("geojson"), F.lit(files.stem(path)), *(F.lit(crs[k]).cast("string") for k in ("authority", "code", "wkt", "name")), *box, F.when(F.size(kinds) == 1, kinds[0]), F.count("*")]
+    names = [x.split()[0] for x in schema.split(", ")]
+    return f.agg(*[v.alias(n) for v, n in zip(values, names)]).select(*[F.col(n).cast(x.split()[1]) for n, x in zip(names, schema.split(", "))])
+
+
 def _describe(path: str, fmt: str) -> list[dict]:
     blank = {"path": path, "source_kind": fmt, "layer": files.stem(path), "authority": None, "code": None, "wkt": None, "name": None, "minx": None, "miny": None, "maxx": None, "maxy": None, "geometry_type": None}
     sides = ("minx", "miny", "maxx", "maxy")
@@ -379,19 +529,17 @@ def _corner_box(t: tuple | None, w: int, h: int) -> dict | None:
 
 
 def _wkt_crs(wkt: str | None) -> dict:
-    import re
-
     if wkt is None or not wkt.strip():
         return {"authority": None, "code": None, "wkt": None, "name": None}
-    found = re.findall(C.AUTHORITY, wkt)
-    name = re.match(C.ROOT_NAME, wkt)
-    return {"authority": found[-1][0] if found else None, "code": found[-1][1] if found else None, "wkt": wkt, "name": name[1] if name else None}
+    authority, code, name = W.read(wkt)
+    return {"authority": authority, "code": code, "wkt": wkt, "name": name}
 
 
 def _describe_raster(path: str, fmt: str) -> dict:
     blank = {"path": path, "source_kind": fmt, "layer": "raster"}
     if fmt == "worldimage":
-        w, h, n = worldimage.header(files.read(path))
+        with files.opened(path) as fetch:
+            w, h, n = worldimage.header(fetch)
         world, prj = worldimage.world_file(path), files.sidecar(path, ".prj")
         t = worldimage.affine(files.read(world).decode("latin-1")) if world else None
         colors = {1: ["Gray"], 2: ["Gray", "Alpha"], 3: ["Red", "Green", "Blue"], 4: ["Red", "Green", "Blue", "Alpha"]}[n]
@@ -400,7 +548,8 @@ def _describe_raster(path: str, fmt: str) -> dict:
         return blank | {"crs": crs, "bounds": _corner_box(t, w, h), "width": w, "height": h, "band_count": n, "geotransform": dict(zip(("ox", "a", "b", "oy", "d", "e"), t)) if t else None, "pixel_anchor": "Area", "bands": bands, "overviews": [], "color_model": {1: "Gray", 2: "GrayAlpha", 3: "RGB", 4: "RGBA"}[n], "is_tiled": False}
     from ..functions.raster import COLOR_MODELS
 
-    all_ = geotiff.directories(files.read(path))
+    with files.opened(path) as fetch:
+        all_ = geotiff.directories(fetch)
     d = all_[0]
     (w, h), keys = d.size, geotiff.geokeys(d)
     anchor = "Point" if keys.get(geotiff.RASTER_TYPE) == 2 else "Area"
@@ -434,16 +583,38 @@ def _describe_raster(path: str, fmt: str) -> dict:
     return blank | {"crs": crs, "bounds": _corner_box(t, w, h), "width": w, "height": h, "band_count": n, "geotransform": dict(zip(("ox", "a", "b", "oy", "d", "e"), t)) if t else None, "pixel_anchor": anchor, "bands": bands, "overviews": over, "color_model": COLOR_MODELS.get(photometric, f"TIFF Photometric {photometric}"), "is_tiled": d.tiled}
 
 
-def read_window(path: str, window: tuple[int, int, int, int], out_w: int, out_h: int) -> tuple[int, tuple[int, int, int, int], bytes]:
-    """(level, clipped window, RGBA bytes) of a raster file, for a viewport."""
+#: Decoded images that the driver keeps for viewports, by path, length and time of change.
+DECODED = ByteCache(256 << 20)
+
+
+def decoded_image(path: str):
+    """Pixels (h, w, 4) of a PNG or JPEG, kept for the next read unless the file changes."""
+    key = (path, *files.version(path))
+    found = DECODED.get(key)
+    if found is None:
+        if path.lower().endswith(_JPEG):
+            spark = SparkSession.getActiveSession()
+            if spark is None:
+                raise G.Unsupported("JPEG pixels without a Spark session")
+            found = _from_image_source(spark.read.format("image").load(path).first()["image"].asDict())
+        else:
+            found = worldimage.png(files.read(path))
+        DECODED.set(key, found, found.nbytes)
+    return found
+
+
+def read_window(path: str, window: tuple[int, int, int, int], out_w: int, out_h: int, wanted=lambda: True) -> tuple[int, tuple[int, int, int, int], bytes]:
+    """(level, clipped window, RGBA bytes) of a raster file, for a viewport; ``wanted`` says whether anybody still waits for it."""
     if resolve(path) == "geotiff":
-        all_ = geotiff.directories(files.read(path))
-        level, clipped, out = geotiff.read_window(lambda offset, length: files.read(path, offset, length), all_, window, out_w, out_h)
+        with files.opened(path) as fetch:
+            level, clipped, out = geotiff.read_window(fetch, geotiff.directories(fetch), window, out_w, out_h, wanted)
         return level, clipped, out.tobytes()
-    image = worldimage.png(files.read(path))
     x, y, w, h = window
     if x < 0 or y < 0 or w <= 0 or h <= 0:
         raise ValueError("the window is invalid")
+    image = decoded_image(path)
+    if not wanted():
+        raise geotiff.Cancelled
     w, h = min(x + w, image.shape[1]) - x, min(y + h, image.shape[0]) - y
     if w <= 0 or h <= 0:
         raise ValueError("the window is outside the raster")

@@ -1,4 +1,4 @@
-"""PNG and JPEG images with a world file: headers of both, pixels of PNG; JPEG pixels go through Spark's image source."""
+"""PNG and JPEG images with a world file: headers of both by ranges, pixels of PNG; those of JPEG come from Spark's image source (``readers``)."""
 
 from __future__ import annotations
 
@@ -14,40 +14,43 @@ WORLD_FILES = {".png": (".pgw", ".pngw", ".wld"), ".jpg": (".jgw", ".jpgw", ".wl
 PNG_BANDS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 
 
-def header(data: bytes) -> tuple[int, int, int]:
-    """(width, height, bands) from the first bytes of a PNG or all of a JPEG."""
-    if data[:8] == b"\x89PNG\r\n\x1a\n":
-        w, h, _, kind = struct.unpack(">IIBB", data[16:26])
+def header(data) -> tuple[int, int, int]:
+    """(width, height, bands) of a PNG or JPEG, from its bytes or from ``fetch(offset, length)``: only headers are read."""
+    fetch = (lambda offset, length: data[offset : offset + length]) if isinstance(data, bytes) else data
+    head = fetch(0, 33)
+    if head[:8] == b"\x89PNG\r\n\x1a\n":
+        w, h, _, kind = struct.unpack(">IIBB", head[16:26])
         return w, h, 3 if kind == 3 else PNG_BANDS[kind]
-    if data[:2] == b"\xff\xd8":
+    if head[:2] == b"\xff\xd8":
         at = 2
-        while at + 9 < len(data):
-            if data[at] != 0xFF:
+        while len(mark := fetch(at, 10)) == 10:
+            if mark[0] != 0xFF:
                 raise Malformed("a JPEG marker is missing")
-            mark = data[at + 1]
-            if mark == 0xFF:
+            if mark[1] == 0xFF:
                 at += 1
                 continue
-            if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
-                h, w, n = struct.unpack(">HHB", data[at + 5 : at + 10])
+            if 0xC0 <= mark[1] <= 0xCF and mark[1] not in (0xC4, 0xC8, 0xCC):
+                h, w, n = struct.unpack(">HHB", mark[5:10])
                 return w, h, n
-            at += 2 + (0 if 0xD0 <= mark <= 0xD9 else struct.unpack(">H", data[at + 2 : at + 4])[0])
+            at += 2 + (0 if 0xD0 <= mark[1] <= 0xD9 else struct.unpack(">H", mark[2:4])[0])
     raise Malformed("neither a PNG nor a JPEG")
 
 
+#: First column and row, and steps, of the seven passes of an interlaced PNG.
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
 def png(data: bytes):
-    """Pixels (h, w, 4) of a PNG with 8-bit samples, not interlaced."""
+    """Pixels (h, w, 4) of a PNG; of 16-bit samples the upper half, fewer than 8 bits are stretched."""
     import numpy as np
 
     w, h, depth, kind, _, _, interlace = struct.unpack(">IIBBBBB", data[16:29])
-    if depth != 8 or interlace:
-        raise Unsupported("PNG images that are interlaced or don't have 8-bit samples")
-    at, packed, palette, alpha = 8, b"", None, b""
+    at, packed, palette, alpha = 8, [], None, b""
     while at < len(data):
         (n,), name = struct.unpack(">I", data[at : at + 4]), data[at + 4 : at + 8]
         body = data[at + 8 : at + 8 + n]
         if name == b"IDAT":
-            packed += body
+            packed.append(body)
         elif name == b"PLTE":
             palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
         elif name == b"tRNS":
@@ -55,43 +58,70 @@ def png(data: bytes):
         elif name == b"IEND":
             break
         at += 12 + n
-    raw, bands = zlib.decompress(packed), PNG_BANDS[kind]
-    stride = w * bands
-    if len(raw) < h * (stride + 1):
+    raw, bands = zlib.decompress(b"".join(packed)), PNG_BANDS[kind]
+    a, place = np.zeros((h, w, bands), np.uint16), 0
+    for x0, y0, dx, dy in PASSES if interlace else ((0, 0, 1, 1),):
+        pw, ph = -(-(w - x0) // dx), -(-(h - y0) // dy)
+        if pw <= 0 or ph <= 0:
+            continue
+        stride = -(-pw * bands * depth // 8)
+        rows = _unfiltered(raw, place, stride, ph, max(1, bands * depth // 8))
+        place += (stride + 1) * ph
+        if depth == 16:
+            part = rows.reshape(ph, pw, bands, 2).astype(np.uint16)
+            part = part[..., 0] << 8 | part[..., 1]
+        elif depth == 8:
+            part = rows.reshape(ph, pw, bands)
+        else:
+            bits = np.unpackbits(rows, axis=1)[:, : pw * bands * depth].reshape(ph, pw, bands, depth)
+            part = (bits << np.arange(depth - 1, -1, -1, dtype=np.uint8)).sum(axis=3, dtype=np.uint8)
+        a[y0::dy, x0::dx] = part
+    full = (1 << depth) - 1
+    eight = (a >> 8 if depth == 16 else a if depth == 8 else a * 255 // full).astype(np.uint8)
+    out = np.full((h, w, 4), 255, np.uint8)
+    if kind == 3:
+        out[..., :3] = palette[a[..., 0]]
+        if alpha:
+            table = np.full(256, 255, np.uint8)
+            table[: len(alpha)] = np.frombuffer(alpha, np.uint8)
+            out[..., 3] = table[a[..., 0]]
+    elif bands < 3:
+        out[..., :3] = eight[..., :1]
+        if bands == 2:
+            out[..., 3] = eight[..., 1]
+    else:
+        out[..., :bands] = eight
+    if alpha and kind in (0, 2):  # one colour is transparent
+        out[..., 3] = np.where((a == np.frombuffer(alpha, ">u2", bands)).all(axis=2), 0, 255)
+    return out
+
+
+def _unfiltered(raw: bytes, at: int, stride: int, h: int, step: int):
+    """Rows (h, stride) of filtered PNG data; ``step`` is the distance of a byte from the one before it."""
+    import numpy as np
+
+    if len(raw) < at + h * (stride + 1):
         raise Malformed("PNG data is truncated")
     rows, last = np.zeros((h, stride), np.uint8), np.zeros(stride, np.uint8)
     for y in range(h):
-        how, line = raw[y * (stride + 1)], np.frombuffer(raw, np.uint8, stride, y * (stride + 1) + 1)
+        how, line = raw[at + y * (stride + 1)], np.frombuffer(raw, np.uint8, stride, at + y * (stride + 1) + 1)
         if how == 0:
             row = line
         elif how == 2:
             row = line + last
         elif how == 1:
-            row = np.cumsum(line.reshape(w, bands), axis=0, dtype=np.uint8).reshape(-1)
+            whole = -(-stride // step) * step
+            row = np.cumsum(np.pad(line, (0, whole - stride)).reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)[:stride]
         else:
             row = np.zeros(stride, np.uint8)
             for x in range(stride):
-                a = int(row[x - bands]) if x >= bands else 0
+                a = int(row[x - step]) if x >= step else 0
                 b = int(last[x])
-                c = int(last[x - bands]) if x >= bands else 0
+                c = int(last[x - step]) if x >= step else 0
                 guess = (a + b) // 2 if how == 3 else _paeth(a, b, c)
                 row[x] = (int(line[x]) + guess) & 255
         rows[y] = last = row
-    a = rows.reshape(h, w, bands)
-    out = np.full((h, w, 4), 255, np.uint8)
-    if kind == 3:
-        out[..., :3] = palette[a[..., 0]]
-        if alpha:
-            table = np.full(256, 255, np.uint8)
-            table[: len(alpha)] = np.frombuffer(alpha, np.uint8)
-            out[..., 3] = table[a[..., 0]]
-    elif bands < 3:
-        out[..., :3] = a[..., :1]
-        if bands == 2:
-            out[..., 3] = a[..., 1]
-    else:
-        out[..., :bands] = a
-    return out
+    return rows
 
 
 def _paeth(a: int, b: int, c: int) -> int:

@@ -17,10 +17,10 @@ def _values(geometry: dict | None) -> dict | None:
     return {"type": geometry["type"], "members": [m | {"parts": [[[(p["x"], p["y"], p["z"], p["m"]) for p in ring] for ring in part] for part in m["parts"]]} for m in geometry["members"]]}
 
 
-def write_features(df: DataFrame, folder: str, format: str, *, columns: list[tuple[str, str]] | None = None, fields: list[tuple[str, str, int, int]] | None = None) -> list[str]:
+def write_features(df: DataFrame, folder: str, format: str, *, columns: list[tuple[str, str]] | None = None, fields: list[tuple[str, str, int, int]] | None = None, codec: str = "utf-8", cpg: str = "UTF-8") -> list[str]:
     """Write (id, geometry, the other columns) and return the files. A partition's rows must fit in memory.
 
-    ``columns``: (name, SQL type) of a GeoPackage; ``fields``: DBF fields of a Shapefile.
+    ``columns``: (name, SQL type) of a GeoPackage; ``fields``: DBF fields of a Shapefile, ``codec`` and ``cpg`` its encoding and what its CPG file says.
     """
 
     def written(batches: Iterator) -> Iterator:
@@ -35,7 +35,7 @@ def write_features(df: DataFrame, folder: str, format: str, *, columns: list[tup
                 files.write(f"{folder}/{name}.geojson", json.dumps({"type": "FeatureCollection", "features": features}, ensure_ascii=False).encode())
             elif format == "shapefile":
                 shp, shx = shapefile.encode_shapes(shapes)
-                for extension, data in (("shp", shp), ("shx", shx), ("dbf", shapefile.encode_table(fields, rows)), ("cpg", b"UTF-8")):
+                for extension, data in (("shp", shp), ("shx", shx), ("dbf", shapefile.encode_table(fields, rows, codec)), ("cpg", cpg.encode())):
                     files.write(f"{folder}/{name}.{extension}", data)
             elif format == "geopackage":
                 values = [(r["id"], g, [r[c] for c, _ in columns]) for r, g in zip(rows, shapes)]

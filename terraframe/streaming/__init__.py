@@ -1 +1 @@
-
+"""Structured Streaming forms of the engine's operators."""

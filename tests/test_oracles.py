@@ -11,8 +11,6 @@ from terraframe.plans import registry
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Their SQL names the size of a larger table.
-SIZED = {"geotiff_metadata"}
 
 
 def rows(columns, values):
@@ -25,7 +23,7 @@ def rows(columns, values):
     return sorted(tuple(plain(r[i]) for i in order) for r in values)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.ORACLES) - SIZED))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_its_sql(spark, name):
     db = duckdb.connect()
     for t in TABLES:

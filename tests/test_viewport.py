@@ -50,3 +50,63 @@ def test_the_cache_serves_the_second_read():
     r = ViewportReader(lambda *a: b"1234", ByteCache(100))
     assert r.read_latest("p", "raster", (0, 0, 1, 1), 1, 1) == r.read_latest("p", "raster", (0, 0, 1, 1), 1, 1)
     assert r.reads == 1
+
+
+def test_a_new_request_cancels_the_jobs_of_the_old_one(spark):
+    import time
+
+    latest, out = Latest(spark), []
+
+    def slow(current):
+        return spark.range(0, 8, 1, 8).selectExpr("java_method('java.lang.Thread', 'sleep', CAST(id * 0 + 20000 AS BIGINT)) AS s").collect()
+
+    def first():
+        try:
+            out.append(latest.run(slow))
+        except Superseded:
+            out.append("superseded")
+
+    t = threading.Thread(target=first)
+    t.start()
+    time.sleep(3)
+    began = time.monotonic()
+    assert latest.run(lambda current: "new") == "new"
+    t.join(15)
+    assert out == ["superseded"] and time.monotonic() - began < 15
+
+
+def test_readers_are_told_when_they_are_superseded():
+    seen = []
+
+    def read(path, layer, window, w, h, wanted):
+        seen.append(wanted())
+        reader.latest.cancel()
+        seen.append(wanted())
+        return b"x"
+
+    reader = ViewportReader(read, ByteCache(100))
+    with pytest.raises(Superseded):
+        reader.read_latest("p", "raster", (0, 0, 1, 1), 1, 1)
+    assert seen == [True, False] and not reader.cache.size
+
+
+@pytest.mark.parametrize("spans", [1, 3, 1024])
+def test_residency_in_spans_equals_a_replay(spark, monkeypatch, spans):
+    import random
+
+    from terraframe.operators import viewport
+
+    monkeypatch.setattr(viewport, "SPANS", spans)
+    rnd, sizes = random.Random(3), {}
+    log = [(k, n, sizes.setdefault(k, rnd.randrange(1, 30))) for n, k in enumerate(rnd.choices(range(40), k=300))]
+    cache = ByteCache(100)
+    for k, _, size in log:
+        if cache.get(k) is None:
+            cache.set(k, k, size)
+    got = {r.key for r in viewport.lru_residency(spark.createDataFrame(log, "key long, seq long, bytes long"), 100).collect()}
+    used, want = 0, set()
+    for k in sorted(sizes, key=lambda k: -max(n for x, n, _ in log if x == k)):
+        if sizes[k] <= 100 and (used := used + sizes[k]) <= 100:
+            want.add(k)
+    assert got == want
+    assert viewport.lru_residency(spark.createDataFrame([], "key long, seq long, bytes long"), 5).collect() == []

@@ -34,23 +34,49 @@ def test_world_image_holds_all_rows(spark, grid, monkeypatch, rows_a_file):
     from terraframe.plans import source_queries
 
     monkeypatch.setattr(source_queries, "IMAGE_ROWS", rows_a_file)
-    assert len(equal_to_sql(spark, "worldimage_whole", grid, ["embeddings"])) == 131 * 64
-    assert len(equal_to_sql(spark, "worldimage_read", grid, ["embeddings"])) == 100 * 64
+    assert len(equal_to_sql(spark, "worldimage_read", grid, ["embeddings"])) == 131 * 64
 
 
 def test_geotiff_metadata_of_any_height(spark, grid):
-    (row,) = equal_to_sql(spark, "geotiff_layer", grid, ["embeddings"])
+    (row,) = equal_to_sql(spark, "geotiff_metadata", grid, ["embeddings"])
     assert "131" in row and "-1110.0" in row  # height and lower edge
 
 
+def test_raster_samples_of_all_rows(spark, grid):
+    assert len(equal_to_sql(spark, "geotiff_samples", grid, ["embeddings"])) == 131 * 64
+
+
 def test_all_declared_boxes_are_read(spark, tmp_path):
     part = spark.range(50).selectExpr("id AS p_partkey", "concat('n', id) AS p_name", "'b' AS p_brand", "'t' AS p_type", "CAST(id % 50 + 1 AS INT) AS p_size")
     part.repartition(3).write.parquet(str(tmp_path / "part.parquet"))
     duckdb.execute(f"COPY (SELECT * FROM '{tmp_path}/part.parquet/*.parquet') TO '{tmp_path}/one.parquet'")
     (tmp_path / "sf").mkdir()
     (tmp_path / "one.parquet").rename(tmp_path / "sf" / "part.parquet")
-    assert len(equal_to_sql(spark, "geojson_declared", tmp_path / "sf", ["part"])) == 50
-    assert len(equal_to_sql(spark, "geojson_bbox", tmp_path / "sf", ["part"])) == 17
+    assert len(equal_to_sql(spark, "geojson_bbox", tmp_path / "sf", ["part"])) == 50
+    assert len(equal_to_sql(spark, "geojson_kinds", tmp_path / "sf", ["part"])) == 50
+
+
+def test_join_of_envelopes_of_any_size(spark):
+    """From points to boxes over everything: no envelope is posted to more than a few cells."""
+    import random
+
+    from terraframe.operators import index
+
+    rnd = random.Random(4)
+
+    def boxes(n, prefix):
+        out = []
+        for i in range(n):
+            side = rnd.choice([0, 0, 0.5, 3, 40, 1000, 1e6])
+            x, y = rnd.uniform(-500, 500), rnd.uniform(-500, 500)
+            out.append((i, x, y, x + side * rnd.random(), y + side))
+        return out
+
+    schema = "id int, minx double, miny double, maxx double, maxy double"
+    a, b = boxes(150, "l"), boxes(130, "r") + [(999, 5.0, 5.0, 1.0, 1.0), (998, float("nan"), 0.0, 1.0, 1.0)]
+    got = sorted((r.l_id, r.r_id) for r in index.spatial_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 1.0).collect())
+    want = sorted((i, j) for i, *p in a for j, *q in b if q[0] <= q[2] and p[0] <= q[2] and q[0] <= p[2] and p[1] <= q[3] and q[1] <= p[3])
+    assert got == want and len(got) > 100
 
 
 def test_join_of_whole_tables_equals_brute_force(spark, tmp_path):
