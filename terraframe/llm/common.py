@@ -8,15 +8,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.files import shared
+
 #: Separators of words: space and the ASCII controls 0x09 to 0x0D.
 SPACES = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACES}]+"
@@ -37,14 +36,8 @@ _WRITING = {
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one when unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        at = tempfile.mkdtemp(prefix="shared-")
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
-        at = f"file://{at}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    """The folder that driver and executors share, see ``files.shared``."""
+    return shared(spark)
 
 
 def fresh(spark: SparkSession, name: str) -> str:

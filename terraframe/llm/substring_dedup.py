@@ -207,9 +207,10 @@ class Index:
         slim = docs.select(*columns)
 
         def scanned(batches: Iterator) -> Iterator:
+            import hashlib
+
             import pyarrow as pa
             import zstandard
-            from xxhash import xxh3_128_digest
 
             tool = zstandard.ZstdCompressor(level=1)
             for b in batches:
@@ -217,7 +218,7 @@ class Index:
                 for text in b.column(1):
                     data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                     words = data.split()
-                    out.append((len(words), xxh3_128_digest(b" ".join(words)), tool.compress(data) if text.is_valid else None))
+                    out.append((len(words), hashlib.sha256(b" ".join(words)).digest(), tool.compress(data) if text.is_valid else None))
                 n, digest, z = zip(*out) if out else ((),) * 3
                 yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(z, pa.binary()), *b.columns[2:]], names=["id", "n", "digest", "z", "row"][: 4 + keep])
 
@@ -331,19 +332,14 @@ class Index:
         return store, marks
 
 
-def strip(text: str | None, whole: bool, starts: list[int] | None, window: int, texts: bool) -> tuple[int, int, str, str | None]:
-    """(words, words removed, SHA-256 of the kept words, the kept text if asked for)."""
+def strip(data: bytes, starts: list[int], window: int, texts: bool) -> tuple[int, str, str | None]:
+    """(words removed, SHA-256 of the kept words, the kept text if asked for) of a text without the words of the windows at ``starts``."""
     import hashlib
     import re
 
     import numpy as np
 
-    data = (text or "").encode("utf-8", "surrogatepass")
     words = data.split()
-    if whole:
-        return len(words), len(words), hashlib.sha256(b"").hexdigest(), ("" if texts else None)
-    if not starts:
-        return len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest(), (text if texts else None)
     edge = np.zeros(len(words) + window + 1, np.int32)
     s = np.asarray(starts)
     np.add.at(edge, s, 1)
@@ -360,7 +356,7 @@ def strip(text: str | None, whole: bool, starts: list[int] | None, window: int,
                     pieces.append(p + (parts[i + 1] if i + 1 < len(parts) else b""))
                 at += 1
         kept = b"".join(pieces).decode("utf-8", "surrogatepass")
-    return len(words), int(gone.sum()), hashlib.sha256(b" ".join(left)).hexdigest(), kept
+    return int(gone.sum()), hashlib.sha256(b" ".join(left)).hexdigest(), kept
 
 
 def stripped(store: DataFrame, marks: DataFrame, window: int, texts: bool) -> DataFrame:
@@ -368,17 +364,29 @@ def stripped(store: DataFrame, marks: DataFrame, window: int, texts: bool) -> Da
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
     more = [c for c in ("row",) if c in store.columns]
-    joined = store.join(marks.hint("shuffle_hash"), "uid", "left").select("id", "z", F.coalesce("whole", F.lit(False)).alias("whole"), "starts", *more)
+    joined = store.join(marks.hint("shuffle_hash"), "uid", "left")
+    # only texts that are asked for or lose a part of their words are unpacked
+    z = F.col("z") if texts else F.when(F.col("starts").isNotNull(), F.col("z"))
+    joined = joined.select("id", "n", "digest", z.alias("z"), F.coalesce("whole", F.lit(False)).alias("whole"), "starts", *more)
+    nothing = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # SHA-256 of no bytes
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import zstandard
 
         tool = zstandard.ZstdDecompressor()
+
+        def one(n: int, digest: bytes, z: bytes | None, whole: bool, starts: list[int] | None) -> tuple:
+            if whole:
+                return n, n, nothing, ""
+            if not starts:
+                return n, 0, digest.hex(), tool.decompress(z).decode("utf-8", "surrogatepass") if texts and z is not None else None
+            return n, *strip(tool.decompress(z), starts, window, texts)
+
         for b in batches:
-            found = [strip(tool.decompress(z.as_py()).decode("utf-8", "surrogatepass") if z.is_valid else None, w.as_py(), s.as_py(), window, texts) for z, w, s in zip(*(b.column(c) for c in (1, 2, 3)))]
+            found = [one(*x) for x in zip(*(b.column(c).to_pylist() for c in range(1, 6)))]
             n, gone, digest, kept = zip(*found) if found else ((),) * 4
-            yield pa.record_batch([b.column(0), *([pa.array(kept, pa.string())] if texts else []), *b.columns[4:], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], names=[f.name for f in schema])
+            yield pa.record_batch([b.column(0), *([pa.array(kept, pa.string())] if texts else []), *b.columns[6:], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], names=[f.name for f in schema])
 
     schema = StructType([store.schema["id"], *([StructField("text", StringType())] if texts else []), *[store.schema[c] for c in more], *[StructField(c, LongType()) for c in RESULTS[:2]], StructField(RESULTS[2], StringType())])
     return joined.mapInArrow(run, schema)
