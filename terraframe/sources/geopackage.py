@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import base64
 import json
 import math
@@ -20,18 +21,38 @@ def quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
+#: Copies that this process has made of files in other stores, by path, length and time of change.
+_COPIES: dict[tuple, str] = {}
+
+
+def remote(path: str) -> bool:
+    """Whether sqlite can't open the file where it lies."""
+    return files.store(path)[0].type_name != "local"
+
+
+def _copied(path: str) -> str:
+    """A temporary copy of a file in another store, made once by a process, piece by piece, and deleted when it ends."""
+    key = (path, *files.version(path))
+    if key not in _COPIES:
+        handle, copy = tempfile.mkstemp(suffix=".gpkg")
+        atexit.register(lambda: os.path.exists(copy) and os.unlink(copy))
+        with os.fdopen(handle, "wb") as f, files.opened(path) as fetch:
+            at = 0
+            while piece := fetch(at, 8 << 20):
+                f.write(piece)
+                at += len(piece)
+        _COPIES[key] = copy
+    return _COPIES[key]
+
+
 class Package:
-    """An open GeoPackage. A file in a store that sqlite can't open is copied to a temporary one first."""
+    """An open GeoPackage. A file in a store that sqlite can't open is read from a copy."""
 
     def __init__(self, path: str) -> None:
-        self.copy = None
         store, at = files.store(path)
         local = at
         if store.type_name != "local":
-            handle, self.copy = tempfile.mkstemp(suffix=".gpkg")
-            with os.fdopen(handle, "wb") as f:
-                f.write(files.read(path))
-            local = self.copy
+            local = _copied(path)
         elif not os.path.exists(at):
             raise FileNotFoundError(path)
         from urllib.request import pathname2url
@@ -48,8 +69,6 @@ class Package:
 
     def close(self) -> None:
         self.db.close()
-        if self.copy:
-            os.unlink(self.copy)
 
     def __enter__(self):
         return self

@@ -117,7 +117,9 @@ class FeatureReader(DataSourceReader):
                 with geopackage.Package(path) as p:
                     for x in p.layers():
                         if self.layer in (None, x["layer"]):
-                            out += [Part(path, x["layer"], *(r or (None, None))) for r in p.ranges(x["layer"], PARTITION_ROWS)]
+                            # a file that has to be copied is copied for one task a layer, not for each range
+                            ranges = [None] if geopackage.remote(path) else p.ranges(x["layer"], PARTITION_ROWS)
+                            out += [Part(path, x["layer"], *(r or (None, None))) for r in ranges]
             elif self.layer in (None, files.stem(path)):
                 if self.fmt == "geojson":
                     out += [Part(path, None, tuple(r)) for r in self.ranges[path]] if path in self.ranges else [Part(path)]
