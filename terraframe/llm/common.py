@@ -100,10 +100,30 @@ def free(columns: list[str], name: str) -> str:
     return name
 
 
-def arrow_batches(spark: SparkSession) -> None:
-    """Keep batches for Python small: texts differ in length by orders of magnitude."""
+def arrow_batches(spark: SparkSession, size: int = ARROW_BYTES) -> None:
+    """Keep the session's batches for Python small: texts differ in length by orders of magnitude."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def lean(work):
+    """``work`` on batches, after which its worker gives freed memory back: Spark keeps idle workers beside the next stage's."""
+
+    def run(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # not this C library
+
+    return run
 
 
 def put(path: str, data: bytes) -> None:

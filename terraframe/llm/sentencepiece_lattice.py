@@ -34,7 +34,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, StringType, StructType
 
-from .common import arrow_batches, fresh, materialise, remove
+from .common import arrow_batches, fresh, lean, leave, materialise, remove
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -288,7 +288,7 @@ def lattice(words: DataFrame, model: Model, *, style: str = "arrow", packed: boo
         if held is not None:
             yield batch([finish(*held[1:])])
 
-    return stream.mapInArrow(folded_, f"word string, {name} {'binary' if packed else 'array<int>'}")
+    return stream.mapInArrow(lean(folded_), f"word string, {name} {'binary' if packed else 'array<int>'}")
 
 
 class Spelling(NamedTuple):
@@ -523,10 +523,10 @@ def _build(words: DataFrame, folder: str, bits: int) -> None:
             done += 1
         yield pa.record_batch([pa.array([done], pa.int32())], names=["parts"])
 
-    dealt = words.select("word", "packed").mapInArrow(hashed, "part int, h long, packed binary")
+    dealt = words.select("word", "packed").mapInArrow(lean(hashed), "part int, h long, packed binary")
     # in the order of unsigned hashes
     dealt = dealt.repartition(min(1 << bits, 4096), "part").sortWithinPartitions("part", F.col("h").bitwiseXOR(F.lit(-(1 << 63))))
-    dealt.mapInArrow(written, "parts int").agg(F.sum("parts")).collect()
+    dealt.mapInArrow(lean(written), "parts int").agg(F.sum("parts")).collect()
 
 
 def _texts(model: Model) -> list[bytes]:
@@ -567,12 +567,13 @@ def encode(docs: DataFrame, model: Model, *, text_col: str = "text", tokens_col:
         yield pa.record_batch([seen], names=["word"])
 
     at_encoded = fresh(spark, "encoded-words")
-    words = docs.select(text_col).mapInArrow(counted, "word string").filter("word <> ''").distinct()
+    words = docs.select(text_col).mapInArrow(lean(counted), "word string").filter("word <> ''").distinct()
     # dealt anew: the words of a partition are all there is to explode there
     encoded = materialise(lattice(words.repartition(F.col("word")), model, packed=True), "encoded-words", path=at_encoded)
     folder, bits = fresh(spark, "dictionary"), max(1, -(-encoded.count() // PART_WORDS) - 1).bit_length()
     _build(encoded, folder, bits)
     remove(spark, at_encoded)
+    leave(spark, folder)
 
     columns = [c for c in docs.columns if c not in (tokens_col, decode_to)]
     schema = StructType([f for f in docs.schema.fields if f.name in columns]).add(tokens_col, BinaryType())
@@ -604,7 +605,7 @@ def encode(docs: DataFrame, model: Model, *, text_col: str = "text", tokens_col:
             decoded = pa.array([_joined([letters[x:y]], prefix) if v else None for x, y, v in zip(places, places[1:], valid)], pa.string())
             yield pa.record_batch([*b.columns, tokens, decoded], names=[f.name for f in schema])
 
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(filled, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(lean(filled), schema)
 
 
 def decode(docs: DataFrame, model: Model, *, tokens_col: str = "tokens", out_col: str = "decoded") -> DataFrame:
@@ -624,4 +625,4 @@ def decode(docs: DataFrame, model: Model, *, tokens_col: str = "tokens", out_col
             out = [_joined(pieces[np.frombuffer(x.as_py(), "<i4")].tolist(), prefix) if x.is_valid else None for x in b.column(at)]
             yield pa.record_batch([*b.columns, pa.array(out, pa.string())], names=[f.name for f in schema])
 
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(decoded, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(lean(decoded), schema)

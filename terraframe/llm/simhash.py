@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import arrow_batches, attach, connected_components, fresh, leave, materialise, quoted
+from .common import arrow_batches, attach, connected_components, fresh, lean, leave, materialise, quoted
 
 BITS = 64
 SEGMENT_BITS = 4
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", t
             yield pa.record_batch([b.column(0), pa.array([f - (1 << BITS) if f >> 63 else f for f in fps], pa.int64())], names=["id", "fp"])
 
     slim = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
-    return slim.mapInArrow(hashed, StructType([slim.schema["id"]]).add("fp", LongType()))
+    return slim.mapInArrow(lean(hashed), StructType([slim.schema["id"]]).add("fp", LongType()))
 
 
 def grid_cells(fp: Column) -> tuple[Column, Column]:

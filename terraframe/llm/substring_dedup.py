@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import arrow_batches, attach, fresh, leave, materialise, put, quoted, remove, writing
+from .common import arrow_batches, attach, fresh, lean, leave, materialise, put, quoted, remove, writing
 
 WINDOW = 20
 ANCHOR = 6
@@ -38,6 +38,8 @@ ANCHOR = 6
 FAN_OUT = 2
 #: Batches in which ``deduplicate`` ingests a table.
 BATCHES = 3
+#: Bytes of texts, compressed, that a task unpacks together.
+BATCH_BYTES = 1 << 20
 #: A row's number holds its batch above these bits.
 BATCH_BITS = 53
 RESULTS = ("n_words", "n_removed", "kept_sha256")
@@ -200,7 +202,7 @@ class Index:
 
     def _store(self, docs: DataFrame, id_col: str, text_col: str, keep: bool) -> DataFrame:
         """The texts of a batch (uid, id, n, digest, z, and with ``keep`` row: the other columns), bucketed by row number."""
-        arrow_batches(self.spark)
+        arrow_batches(self.spark, BATCH_BYTES)
         columns = [F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")]
         if keep:
             columns.append(F.struct(*[F.col(quoted(c)) for c in docs.columns if c != text_col]).alias("row"))
@@ -231,7 +233,7 @@ class Index:
         if number >> 63 - BATCH_BITS:
             raise ValueError("too many batches")
         uid = F.monotonically_increasing_id() + F.lit(number << BATCH_BITS)
-        run = self._write("texts", slim.mapInArrow(scanned, schema).withColumn("uid", uid), ["uid"])
+        run = self._write("texts", slim.mapInArrow(lean(scanned), schema).withColumn("uid", uid), ["uid"])
         self.texts.append(run)
         return self.spark.table(run["name"])
 
@@ -272,7 +274,7 @@ class Index:
                     yield pa.record_batch([pa.array(np.concatenate(found)), pa.array(np.concatenate(uids)), pa.array(np.concatenate(again))], names=["anchor", "uid", "again"])
 
         first = store.filter(F.col("n") >= window).select("uid", "z").join(whole.hint("shuffle_hash"), "uid", "left_anti")
-        own = kept(first.mapInArrow(anchored, "anchor long, uid long, again boolean"), "anchors")
+        own = kept(first.mapInArrow(lean(anchored), "anchor long, uid long, again boolean"), "anchors")
         grouped = own.groupBy("anchor").agg(F.count("*").alias("rows"), F.min("uid").alias("own"), F.max("again").alias("again"))
         known = self.merged("anchors", grouped)
         # the run: all anchors of the batch; those met before or twice have their windows stored from now on
@@ -303,7 +305,7 @@ class Index:
         schema = store.select(F.lit(1).cast("long").alias("h1"), F.lit(1).cast("long").alias("h2"), "uid", "id", F.lit(1).alias("start")).schema
 
         def hashed(texts_: DataFrame, asked: DataFrame) -> DataFrame:
-            return texts_.join(asked.hint("shuffle_hash"), "uid").select("uid", "id", "z", "anchors").mapInArrow(windows, schema)
+            return texts_.join(asked.hint("shuffle_hash"), "uid").select("uid", "id", "z", "anchors").mapInArrow(lean(windows), schema)
 
         found = hashed(store, hits).withColumn("new", F.lit(True))
         late = kept(run.filter("late").groupBy("uid").agg(F.collect_list("anchor").alias("anchors")), "late") if len(self.texts) > 1 else None
@@ -389,7 +391,7 @@ def stripped(store: DataFrame, marks: DataFrame, window: int, texts: bool) -> Da
             yield pa.record_batch([b.column(0), *([pa.array(kept, pa.string())] if texts else []), *b.columns[6:], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], names=[f.name for f in schema])
 
     schema = StructType([store.schema["id"], *([StructField("text", StringType())] if texts else []), *[store.schema[c] for c in more], *[StructField(c, LongType()) for c in RESULTS[:2]], StructField(RESULTS[2], StringType())])
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)
 
 
 def deduplicate(docs: DataFrame, *, batches: int = BATCHES, window: int = WINDOW, anchor: int = ANCHOR, fan_out: int = FAN_OUT, texts: bool = False, into: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
