@@ -43,12 +43,13 @@ def bounds(geometry: dict | None) -> tuple[float, float, float, float] | None:
     found = list(positions(geometry))
     if not found:
         return None
-    out = []
-    for pick in (min, max):
-        for axis in (0, 1):
-            values = [p[axis] for p in found]
-            out.append(math.nan if any(math.isnan(v) for v in values) else pick(values))
-    return out[0], out[1], out[2], out[3]
+    sides = []
+    for axis in (0, 1):
+        values = [p[axis] for p in found]
+        total = sum(values)  # NaN if one of them is, or if both infinities are there
+        spoiled = total != total and any(map(math.isnan, values))
+        sides.append((math.nan, math.nan) if spoiled else (min(values), max(values)))
+    return sides[0][0], sides[1][0], sides[0][1], sides[1][1]
 
 
 def intersects(a, b) -> bool:
@@ -58,15 +59,30 @@ def intersects(a, b) -> bool:
     return a[0] <= a[2] and a[1] <= a[3] and b[0] <= b[2] and b[1] <= b[3] and a[0] <= b[2] and a[2] >= b[0] and a[1] <= b[3] and a[3] >= b[1]
 
 
-def as_rows(p: tuple) -> dict:
-    return {"x": p[0], "y": p[1], "z": p[2], "m": p[3]}
-
-
-def as_struct(geometry: dict | None) -> dict | None:
-    """The geometry with positions as records, for Arrow."""
-    if geometry is None:
-        return None
-    return {"type": geometry["type"], "members": [m | {"parts": [[[as_rows(p) for p in ring] for ring in part] for part in m["parts"]]} for m in geometry["members"]]}
+def as_array(geometries: list[dict | None], kind):
+    """The geometries as an Arrow array of type ``kind``, built column by column."""
+    import numpy as np
+    import pyarrow as pa
+
+    member = kind.field("members").type.value_type
+    coord = member.field("parts").type.value_type.value_type.value_type
+    members = [m for g in geometries if g is not None for m in g["members"]]
+    parts = [p for m in members for p in m["parts"]]
+    rings = [r for p in parts for r in p]
+    flat = [c for r in rings for c in r]
+
+    def listed(holders: list, values):
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(h) for h in holders])]).astype(np.int32)), values)
+
+    columns = list(zip(*flat)) if flat else [()] * 4
+    coords = pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in columns], fields=list(coord))
+    by_ring = listed(rings, coords)
+    by_part = listed(parts, by_ring)
+    by_member = listed([m["parts"] for m in members], by_part)
+    whole = pa.StructArray.from_arrays([pa.array([m["path"] for m in members], member.field("path").type), pa.array([m["type"] for m in members], pa.string()), pa.array([m["declared"] for m in members], member.field("declared").type), by_member], fields=list(member))
+    held = listed([g["members"] if g is not None else () for g in geometries], whole)
+    types = pa.array([g and g["type"] for g in geometries], pa.string())
+    return pa.StructArray.from_arrays([types, held], fields=list(kind), mask=pa.array([g is None for g in geometries], pa.bool_()))
 
 
 class Cursor:

@@ -104,6 +104,20 @@ def _batches(rows: Iterator[dict], schema: str):
         yield pa.RecordBatch.from_pylist(chunk, schema=arrow)
 
 
+def feature_batches(rows: Iterator[tuple]):
+    """Arrow batches (columns of ``schema.FEATURE``) of (layer, seq, id, geometry, declared box, bounds, attributes)."""
+    import itertools
+
+    import pyarrow as pa
+
+    arrow = S.arrow_schema(S.FEATURE)
+    kinds = {f.name: f.type for f in arrow}
+    while chunk := list(itertools.islice(rows, BATCH_ROWS)):
+        layer, seq, id, geometry, declared, own, attributes = zip(*chunk)
+        sides = zip(*(o or (None,) * 4 for o in own))
+        yield pa.RecordBatch.from_arrays([pa.array(layer, pa.string()), pa.array(seq, pa.int64()), pa.array(id, pa.string()), G.as_array(geometry, kinds["geometry"]), pa.array(declared, kinds["declared_bounds"]), *(pa.array(v, pa.float64()) for v in sides), pa.array(attributes, pa.string())], schema=arrow)
+
+
 class FeatureReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.fmt, self.path, self.layer = options["kind"], options["path"], options.get("layer")
@@ -138,14 +152,8 @@ class FeatureReader(DataSourceReader):
         return out or [Part("")]
 
     def read(self, part: Part):
-        def rows():
-            if not part.path:
-                return
-            for layer, seq, id, geometry, declared, own, attributes in _ROWS[self.fmt](part, self.extent):
-                minx, miny, maxx, maxy = own or (None,) * 4
-                yield {"layer": layer, "seq": seq, "feature_id": id, "geometry": G.as_struct(geometry), "declared_bounds": declared, "minx": minx, "miny": miny, "maxx": maxx, "maxy": maxy, "attributes": attributes}
-
-        yield from _batches(rows(), S.FEATURE)
+        if part.path:
+            yield from feature_batches(_ROWS[self.fmt](part, self.extent))
 
 
 class FeatureSource(DataSource):

@@ -31,11 +31,9 @@ def arriving_features(spark: SparkSession, folder: str, *, extent: tuple[float,
     def decoded(batches):
         for b in batches:
             for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                rows = []
-                for seq, (id, geometry, declared, attributes) in enumerate(geojson.features(geojson.parse(data.decode("utf-8-sig"), path))):
-                    minx, miny, maxx, maxy = G.bounds(geometry) or (None,) * 4
-                    rows.append({"layer": re.sub(r".*/|\.[^./]*$", "", path), "seq": seq, "feature_id": id, "geometry": G.as_struct(geometry), "declared_bounds": declared, "minx": minx, "miny": miny, "maxx": maxx, "maxy": maxy, "attributes": attributes})
-                yield from readers._batches(iter(rows), S.FEATURE)
+                layer = re.sub(r".*/|\.[^./]*$", "", path)
+                found = geojson.features(geojson.parse(data.decode("utf-8-sig"), path))
+                yield from readers.feature_batches((layer, seq, id, geometry, declared, G.bounds(geometry), attributes) for seq, (id, geometry, declared, attributes) in enumerate(found))
 
     out = source.load(folder).select("path", "content").mapInArrow(decoded, S.FEATURE)
     if extent is None:
