@@ -24,7 +24,7 @@ from . import files, geojson, geopackage, geometry as G, geotiff, shapefile, wor
 PARTITION_ROWS = 50_000
 BATCH_ROWS = 2000
 #: A GeoJSON file longer than this is dealt out in chunks of this size.
-SPLIT_BYTES = 16 << 20
+SPLIT_BYTES = 4 << 20
 EXTENSIONS = {"geojson": (".geojson", ".json"), "shapefile": (".shp",), "geopackage": (".gpkg",), "geotiff": (".tif", ".tiff"), "worldimage": (".png", ".jpg", ".jpeg")}
 
 
