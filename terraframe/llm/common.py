@@ -163,7 +163,8 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, weight: str, values: li
     """
     table = groups.select(F.col(key).alias("_gk"), F.struct(*values).alias("_gv"), F.col(weight).alias("_gn"))
     hot = table.orderBy(F.desc("_gn"), "_gk").limit(HOT_KEYS).select(F.col("_gk").alias("_hk"), F.col("_gv").alias("_hv"))
-    cold = table.select("_gk", "_gv", F.lit(0).alias("_gs"))
+    # zero, but not a literal: that would be folded into a condition, and rows then dealt out by the key alone
+    cold = table.select("_gk", "_gv", F.least(F.lit(0).cast("long"), F.col("_gn").cast("long")).cast("int").alias("_gs"))
     left = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
     left = left.withColumn("_s", F.when(F.col("_hk").isNotNull() | F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int") + 1).otherwise(0))
     out = left.join(cold, (F.col(key) == F.col("_gk")) & (F.col("_s") == F.col("_gs")), "left")

@@ -37,7 +37,7 @@ ANCHOR = 6
 #: Runs of one tier that are merged into one of the next.
 FAN_OUT = 2
 #: Batches in which ``deduplicate`` ingests a table.
-BATCHES = 3
+BATCHES = 2
 #: Bytes of texts, compressed, that a task unpacks together.
 BATCH_BYTES = 1 << 20
 #: A row's number holds its batch above these bits.

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import re
 import zlib
 
 import duckdb
@@ -791,6 +792,13 @@ def test_attach_equals_a_left_join(spark, monkeypatch):
     got = common.attach(rows, groups, "k", "n", ["low"], F.col("i"))
     want = rows.join(groups.select("k", "low"), "k", "left").select("i", "k", "low")
     assert got.columns == ["i", "k", "low"] and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # rows of a hot key are dealt out by their salt too
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = common.attach(rows, groups, "k", "n", ["low"], F.col("i"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"hashpartitioning\(k#\d+, _s#\d+", plan)
 
 
 # oracles and the pipeline
