@@ -46,10 +46,11 @@ def fresh(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def writing(spark: SparkSession) -> Iterator[None]:
+def writing(spark: SparkSession, more: dict[str, str] | None = None) -> Iterator[None]:
     """Settings for a write; those of the session come back afterwards."""
-    before = {k: spark.conf.get(k, None) for k in _WRITING}
-    for k, v in _WRITING.items():
+    settings = _WRITING | (more or {})
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         yield

@@ -40,6 +40,9 @@ FAN_OUT = 2
 BATCHES = 2
 #: Bytes of texts, compressed, that a task unpacks together.
 BATCH_BYTES = 1 << 20
+#: A run has a file for each bucket; being a part of the corpus in slim rows, it gets this fraction of the session's partitions as buckets.
+SHARE = 4
+_PARTITIONS = "spark.sql.shuffle.partitions"
 #: A row's number holds its batch above these bits.
 BATCH_BITS = 53
 RESULTS = ("n_words", "n_removed", "kept_sha256")
@@ -138,9 +141,10 @@ class Index:
     def _write(self, kind: str, rows: DataFrame, keys: list[str], tier: int = 0) -> dict:
         """Write a table; unless it is dealt out by ``keys`` already, as by an aggregate, its rows are now."""
         name = f"run_{kind}_{uuid.uuid4().hex}"
-        buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        dealt = rows.repartition(buckets, *keys) if kind == "texts" else rows
-        with writing(self.spark):
+        with writing(self.spark, {_PARTITIONS: str(max(1, int(self.spark.conf.get(_PARTITIONS)) // SHARE))}):
+            # as many buckets as an aggregate deals its rows out to now
+            buckets = int(self.spark.conf.get(_PARTITIONS))
+            dealt = rows.repartition(buckets, *keys) if kind == "texts" else rows
             dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{self.folder}/{name}").format("parquet").saveAsTable(name)
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
         return {"name": name, "key": ", ".join(keys), "buckets": buckets, "tier": tier, "columns": columns}
