@@ -254,7 +254,21 @@ class TableSource(DataSource):
         return TableReader(self.options["path"], schema)
 
 
+#: Ranges found, by path, length, time of change and size of chunks; the last 64.
+_FOUND: dict[tuple, tuple | None] = {}
+
+
 def _ranges(spark: SparkSession, path: str) -> tuple[list[tuple[int, int, int]], dict] | None:
+    """``_sought`` once for a file as it is."""
+    key = (path, *files.version(path), SPLIT_BYTES)
+    if key not in _FOUND:
+        while len(_FOUND) >= 64:
+            _FOUND.pop(next(iter(_FOUND)))
+        _FOUND[key] = _sought(spark, path)
+    return _FOUND[key]
+
+
+def _sought(spark: SparkSession, path: str) -> tuple[list[tuple[int, int, int]], dict] | None:
     """([(from byte, to byte, number of the first feature)], the document without its features) of a large GeoJSON file.
 
     Tasks summarise chunks of the file without knowing how they begin; put together, the summaries say how each begins, and tasks look for
