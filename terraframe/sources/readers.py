@@ -55,22 +55,65 @@ def _geojson_rows(part: Part, extent) -> Iterator[tuple]:
             yield files.stem(part.path), seq, id, geometry, declared, own, attributes
 
 
-def _plain(v):
-    return v if v is None or isinstance(v, (int, float, bool)) else str(v)
+#: Records, and bytes of them, that a task decodes at once.
+CHUNK_ROWS, CHUNK_BYTES = 10_000, 8 << 20
 
 
-def _shapefile_rows(part: Part, extent) -> Iterator[tuple]:
+def _chunks(part: Part, lengths) -> Iterator[tuple[int, int]]:
+    """Ranges of the partition's records of at most CHUNK_ROWS rows and, but for a single record, CHUNK_BYTES."""
+    import numpy as np
+
+    ends, a = np.cumsum(lengths), 0
+    while a < len(lengths):
+        most = CHUNK_BYTES + (ends[a - 1] if a else 0)
+        b = max(a + 1, min(a + CHUNK_ROWS, int(np.searchsorted(ends, most, "right"))))
+        yield a, b
+        a = b
+
+
+def _shapefile_batches(part: Part, extent) -> Iterator:
+    """Arrow batches (columns of ``schema.FEATURE``) of a range of records."""
+    import numpy as np
+    import pyarrow as pa
+
+    from . import shapecolumns
+
     kit = shapefile.sidecars(part.path)
-    index = shapefile.entries(b"\0" * 100 + files.read(kit["shx"], 100 + 8 * part.first, 8 * (part.last - part.first)))
-    head = shapefile.table(files.read(kit["dbf"], 0, 32 + 32 * 256 + 1)[: 32 + 32 * 256 + 1])
+    index = np.array(shapefile.entries(b"\0" * 100 + files.read(kit["shx"], 100 + 8 * part.first, 8 * (part.last - part.first))), np.int64).reshape(-1, 2)
+    head = _table(kit["dbf"])
     codec = shapefile.encoding(files.read(kit["cpg"]).decode("latin-1") if kit["cpg"] else None, head.language)
-    if not index:
-        return
-    low, high = min(o for o, _ in index), max(o + 8 + n for o, n in index)
-    shapes = files.read(kit["shp"], low, high - low)
-    rows = files.read(kit["dbf"], head.start + head.width * part.first, head.width * (part.last - part.first))
-    for k, (offset, length) in enumerate(index):
-        content = shapefile.record(shapes[offset - low : offset - low + 8 + length], part.first + k + 1, length)
+    arrow = S.arrow_schema(S.FEATURE)
+    with files.opened(kit["shp"]) as shapes, files.opened(kit["dbf"]) as table:
+        for a, b in _chunks(part, index[:, 1] + 8):
+            at, lengths = index[a:b, 0], index[a:b, 1]
+            first, low, high = part.first + a, int(at.min()), int((at + 8 + lengths).max())
+            if high - low > 2 * int((lengths + 8).sum()) + CHUNK_BYTES:  # records far apart
+                data = b"".join(shapes(int(o), 8 + int(n)).ljust(8 + int(n), b"\0") for o, n in zip(at, lengths))
+                at = np.cumsum(lengths + 8) - lengths - 8
+            else:
+                data, at = shapes(low, high - low), at - low
+            found = shapecolumns.decode(data, at, lengths, first + 1, extent)
+            rows = table(head.start + head.width * first, head.width * (b - a))
+            if found is None:  # record by record, up to the one that is wrong
+                yield from feature_batches(_shapefile_rows(part.path, first, data, at.tolist(), lengths.tolist(), rows, head, codec, extent))
+                continue
+            kept, geometry, declared, sides = found
+            raw, there = shapecolumns.records(rows, head, b - a)
+            raw, there = raw[kept], there[kept]
+            if not there.all():
+                alive = pa.array(there)
+                kept, raw, geometry, declared, sides = kept[there], raw[there], geometry.filter(alive), declared.filter(alive), [s.filter(alive) for s in sides]
+            if len(kept):
+                seq = pa.array(kept + first)
+                id = pa.array(kept + first + 1).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([files.stem(part.path)] * len(kept)), seq, id, geometry, declared, *sides, shapecolumns.as_json(raw, head, codec)], schema=arrow)
+
+
+def _shapefile_rows(path: str, first: int, shapes: bytes, at: list[int], lengths: list[int], rows: bytes, head: shapefile.Table, codec: str, extent) -> Iterator[tuple]:
+    from .shapecolumns import _dumped
+
+    for k, (offset, length) in enumerate(zip(at, lengths)):
+        content = shapefile.record(shapes[offset : offset + 8 + length], first + k + 1, length)
         if extent is not None and not G.intersects(G.shape_bounds(content[:36]), extent):
             continue
         geometry = G.shape(content)
@@ -79,9 +122,9 @@ def _shapefile_rows(part: Part, extent) -> Iterator[tuple]:
             continue
         values = shapefile.row(rows[k * head.width : (k + 1) * head.width], head, codec)
         if values is not None:
-            text = "{" + ",".join(json.dumps(n, ensure_ascii=False) + ":" + (str(v) if type(v).__name__ == "Decimal" else json.dumps(_plain(v), ensure_ascii=False)) for n, v in values.items()) + "}"
+            text = "{" + ",".join(json.dumps(n, ensure_ascii=False) + ":" + _dumped(v) for n, v in values.items()) + "}"
             declared = geometry["members"][0]["declared"] if geometry and geometry["members"] else None
-            yield files.stem(part.path), part.first + k, str(part.first + k + 1), geometry, declared, own, text
+            yield files.stem(path), first + k, str(first + k + 1), geometry, declared, own, text
 
 
 def _geopackage_rows(part: Part, extent) -> Iterator[tuple]:
@@ -91,7 +134,7 @@ def _geopackage_rows(part: Part, extent) -> Iterator[tuple]:
             yield part.layer, seq if keys is None else key, None if key is None else str(key), geometry, declared, G.bounds(geometry), geopackage.as_json(row)
 
 
-_ROWS = {"geojson": _geojson_rows, "shapefile": _shapefile_rows, "geopackage": _geopackage_rows}
+_ROWS = {"geojson": _geojson_rows, "geopackage": _geopackage_rows}
 
 
 def _batches(rows: Iterator[dict], schema: str):
@@ -144,7 +187,7 @@ class FeatureReader(DataSourceReader):
                     if body % 8:
                         raise G.Malformed("an SHX index ends inside an entry")
                     n = body // 8
-                    if shapefile.table(files.read(kit["dbf"], 0, 32 + 32 * 256 + 1)).rows != n:
+                    if _table(kit["dbf"]).rows != n:
                         raise G.Malformed(f"{path}: the SHX index and the DBF table have different numbers of records")
                     out += [Part(path, None, a, min(n, a + PARTITION_ROWS)) for a in range(0, n, PARTITION_ROWS)]
         if not out and self.layer is not None:
@@ -153,7 +196,7 @@ class FeatureReader(DataSourceReader):
 
     def read(self, part: Part):
         if part.path:
-            yield from feature_batches(_ROWS[self.fmt](part, self.extent))
+            yield from _shapefile_batches(part, self.extent) if self.fmt == "shapefile" else feature_batches(_ROWS[self.fmt](part, self.extent))
 
 
 class FeatureSource(DataSource):
@@ -209,32 +252,51 @@ class BlockSource(DataSource):
         return BlockReader(dict(self.options))
 
 
+def _table(path: str) -> shapefile.Table:
+    return shapefile.table(files.read(path, 0, 32 + 32 * 256 + 1))
+
+
 class TableReader(DataSourceReader):
     def __init__(self, path: str, schema) -> None:
         self.path, self.kind = path, schema
 
     def partitions(self) -> list[Part]:
-        n = shapefile.table(files.read(self.path, 0, 32 + 32 * 256 + 1)).rows
-        return [Part(self.path, None, a, min(n, a + PARTITION_ROWS)) for a in range(0, n, PARTITION_ROWS)] or [Part("")]
+        out, known = [], None
+        for path in files.expand(self.path, (".dbf",)):
+            t = _table(path)
+            if known is not None and t.fields != known:
+                raise G.Malformed(f"{path}: its fields differ from those of the other tables of {self.path}")
+            known = t.fields
+            out += [Part(path, None, a, min(t.rows, a + PARTITION_ROWS)) for a in range(0, t.rows, PARTITION_ROWS)]
+        return out or [Part("")]
 
     def read(self, part: Part):
         if not part.path:
             return
-        head = shapefile.table(files.read(part.path, 0, 32 + 32 * 256 + 1))
+        import numpy as np
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        from . import shapecolumns
+
+        arrow = to_arrow_schema(self.kind)
+        head = _table(part.path)
         cpg = files.sidecar(part.path, ".cpg")
         codec = shapefile.encoding(files.read(cpg).decode("latin-1") if cpg else None, head.language)
-        data = files.read(part.path, head.start + head.width * part.first, head.width * (part.last - part.first))
-        wide = [f.dataType.typeName() for f in self.kind.fields[2:]]
-        for k in range(part.last - part.first):
-            row = shapefile.row(data[k * head.width : (k + 1) * head.width], head, codec)
-            if row is None:
-                yield (part.first + k, True, *([None] * len(wide)))
-            else:
-                yield (part.first + k, False, *row.values())
+        step = max(1, min(CHUNK_ROWS, CHUNK_BYTES // head.width))
+        with files.opened(part.path) as fetch:
+            for first in range(part.first, part.last, step):
+                n = min(step, part.last - first)
+                raw, there = shapecolumns.records(fetch(head.start + head.width * first, head.width * n), head, n)
+                columns = shapecolumns.as_columns(raw[there], head, codec, arrow.types[2:])
+                if not there.all():
+                    row = pa.array(np.cumsum(there) - 1, mask=~there)
+                    columns = [c.take(row) for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n)), pa.array(~there), *columns], schema=arrow)
 
 
 class TableSource(DataSource):
-    """A DBF table with typed columns, the record number and whether the record is deleted."""
+    """A DBF table, or all of a folder, with typed columns, the record number in its file and whether the record is deleted."""
 
     @classmethod
     def name(cls) -> str:
@@ -243,7 +305,10 @@ class TableSource(DataSource):
     def schema(self) -> str:
         types = {"C": "string", "L": "boolean", "D": "date", "I": "int", "Y": "decimal(19,4)"}
         out = ["record_no long", "deleted boolean"]
-        for f in shapefile.table(files.read(self.options["path"], 0, 32 + 32 * 256 + 1)).fields:
+        found = files.expand(self.options["path"], (".dbf",))
+        if not found:
+            raise ValueError(f"no DBF table in {self.options['path']}")
+        for f in _table(found[0]).fields:
             number = "long" if f.decimals == 0 else f"decimal({min(38, max(f.length, f.decimals + 1))},{f.decimals})"
             if f.kind not in (*types, "N", "F"):
                 raise G.Unsupported(f"DBF field type {f.kind}")
@@ -380,6 +445,7 @@ def with_variant(features: DataFrame) -> DataFrame:
 
 
 def read_dbf(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a DBF table, or of all tables of a folder, which must have the same fields."""
     register(spark)
     return spark.read.format("terraframe_dbf").option("path", path).load()
 
