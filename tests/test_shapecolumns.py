@@ -132,3 +132,40 @@ def test_a_large_partition_becomes_several_files_and_is_read_in_chunks(spark, tm
     got = {json.loads(r.attributes)["id"]: r.geometry and len(r.geometry.members[0].parts[0]) for r in readers.read_features(spark, str(tmp_path / "s"), format="shapefile").collect()}
     assert got == {i: g and len(g["members"][0]["parts"][0]) for i, g in enumerate(found)}
     assert len(files.expand(str(tmp_path / "s"), (".dbf",))) == len(names)
+
+
+@pytest.fixture
+def no_single_records(monkeypatch):
+    """Nothing is encoded, decoded or turned into Python values record by record."""
+
+    def fail(*_):
+        raise AssertionError("a record is handled by itself")
+
+    for where, name in ((G, "shape"), (G, "positions"), (G, "as_array"), (shapefile, "row"), (shapefile, "record"), (writers, "_values")):
+        monkeypatch.setattr(where, name, fail)
+
+
+def there_and_back(found, folder):
+    """The geometries, written as a column and read as a column, in this process."""
+    column = G.as_array(found, shapecolumns.GEOMETRY)
+
+    def run():
+        s = shapefile.Shapes()
+        for k in range(0, len(column), 7):
+            s.add(shapecolumns.encode(column.slice(k, 7)))
+        shp, shx = s.files()
+        (folder / "a.shp").write_bytes(shp)
+        (folder / "a.shx").write_bytes(shx)
+        (folder / "a.dbf").write_bytes(shapefile.encode_table([("ID", "N", 9, 0)], [{"ID": k} for k in range(len(column))]))
+        batches = list(readers._shapefile_batches(readers.Part(str(folder / "a.shp"), None, 0, len(column)), None))
+        return pa.Table.from_batches(batches)
+
+    return run
+
+
+def test_multipoints_are_written_and_read_by_column(tmp_path, request):
+    found = shapes(80, families=("MultiPoint",))
+    run = there_and_back(found, tmp_path)
+    request.getfixturevalue("no_single_records")
+    got = run()
+    assert [len(g["members"][0]["parts"]) for g in got["geometry"].to_pylist()] == [len(g["members"][0]["parts"]) for g in found]
