@@ -186,11 +186,8 @@ def dbf_scan(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     nowhere = F.lit(None).cast(S.GEOMETRY).alias("geometry")
     rows = o.select(F.col("o_orderkey").alias("id"), nowhere, F.round("o_totalprice", 2).alias("price"), F.to_date("o_orderdate").alias("day"), F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 2 == 0).alias("even"))
-    names = writers.write_features(rows, folder, "shapefile", fields=[("id", "N", 18, 0), ("price", "N", 20, 2), ("day", "D", 8, 0), ("status", "C", 4, 0), ("even", "L", 1, 0)])
-    out = None
-    for n in names:
-        part = readers.read_dbf(spark, f"{folder}/{n}.dbf")
-        out = part if out is None else out.union(part)
+    writers.write_features(rows, folder, "shapefile", fields=[("id", "N", 18, 0), ("price", "N", 20, 2), ("day", "D", 8, 0), ("status", "C", 4, 0), ("even", "L", 1, 0)])
+    out = readers.read_dbf(spark, folder)
     return out.filter("NOT deleted").select("id", F.col("price").cast("double").alias("price"), "day", "status", "even")
 
 

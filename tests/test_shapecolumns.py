@@ -169,3 +169,17 @@ def test_multipoints_are_written_and_read_by_column(tmp_path, request):
     request.getfixturevalue("no_single_records")
     got = run()
     assert [len(g["members"][0]["parts"]) for g in got["geometry"].to_pylist()] == [len(g["members"][0]["parts"]) for g in found]
+
+
+def test_all_tables_of_a_folder_are_one_source(spark, tmp_path):
+    """One plan for any number of tables; their rows in the order of the names."""
+    fields = [("N", "N", 9, 0), ("D", "N", 9, 2)]
+    for k in range(30):
+        (tmp_path / f"t{k:02}.dbf").write_bytes(shapefile.encode_table(fields, [{"N": k, "D": None}, None, {"N": -k, "D": decimal.Decimal(k)}]))
+    df = readers.read_dbf(spark, str(tmp_path))
+    assert df._jdf.queryExecution().logical().collectLeaves().size() == 1
+    got = [(r.record_no, r.deleted, r.N, r.D) for r in df.collect()]
+    assert got == [x for k in range(30) for x in ((0, False, k, None), (1, True, None, None), (2, False, -k, decimal.Decimal(k)))]
+    (tmp_path / "t99.dbf").write_bytes(shapefile.encode_table([("N", "N", 9, 0)], []))
+    with pytest.raises(Exception, match="t99.dbf: its fields differ"):
+        readers.read_dbf(spark, str(tmp_path)).collect()
