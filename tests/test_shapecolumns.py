@@ -183,3 +183,11 @@ def test_all_tables_of_a_folder_are_one_source(spark, tmp_path):
     (tmp_path / "t99.dbf").write_bytes(shapefile.encode_table([("N", "N", 9, 0)], []))
     with pytest.raises(Exception, match="t99.dbf: its fields differ"):
         readers.read_dbf(spark, str(tmp_path)).collect()
+
+
+def test_points_with_z_are_written_and_read_by_column(tmp_path, request):
+    found = [G.single("Point", [[[(float(k), -k / 2, k / 4, None)]]]) for k in range(60)]
+    run = there_and_back(found, tmp_path)
+    request.getfixturevalue("no_single_records")
+    got = run()
+    assert got["minx"].to_pylist() == list(range(60)) and [g["members"][0]["parts"][0][0][0]["z"] for g in got["geometry"].to_pylist()] == [k / 4 for k in range(60)]
