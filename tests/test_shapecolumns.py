@@ -191,3 +191,11 @@ def test_points_with_z_are_written_and_read_by_column(tmp_path, request):
     request.getfixturevalue("no_single_records")
     got = run()
     assert got["minx"].to_pylist() == list(range(60)) and [g["members"][0]["parts"][0][0][0]["z"] for g in got["geometry"].to_pylist()] == [k / 4 for k in range(60)]
+
+
+def test_polygons_are_written_and_read_by_column(tmp_path, request):
+    found = shapes(80, seed=6, families=("Polygon",))
+    run = there_and_back(found, tmp_path)
+    request.getfixturevalue("no_single_records")
+    got = run()
+    assert [[len(r) for r in g["members"][0]["parts"][0]] for g in got["geometry"].to_pylist()] == [[len(r) for r in g["members"][0]["parts"][0]] for g in found]
