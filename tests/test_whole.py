@@ -91,3 +91,23 @@ def test_join_of_whole_tables_equals_brute_force(spark, tmp_path):
     assert min(sizes) < 6 and max(sizes) > 40 and any(6 <= s <= 40 for s in sizes)
     got = sorted((r.l_id, r.r_id) for r in registry.QUERIES["spatial_join_whole"](spark, str(tmp_path)).collect())
     assert got == want
+
+
+def test_rows_of_equal_envelopes_are_joined_as_one(spark, monkeypatch):
+    """The join compares different envelopes; an envelope of very many rows is listed in parts, and every pair of rows is there once."""
+    from terraframe.operators import index
+
+    monkeypatch.setattr(index, "CLASS", 50)
+    a = spark.range(2000).selectExpr("id AS k", "'a' AS s", "IF(id < 1500, 0D, id % 7) AS minx", "0D AS miny", "IF(id < 1500, 0D, id % 7) AS maxx", "1D AS maxy")
+    b = spark.range(300).selectExpr("IF(id % 2 = 0, 0D, 3D) AS minx", "id AS k", "0D AS miny", "IF(id % 2 = 0, 2D, 3D) AS maxx", "0D AS maxy")
+    df = index.spatial_join(a, b, 1.0)
+    assert df.columns == ["l_k", "l_s", "l_minx", "l_miny", "l_maxx", "l_maxy", "r_minx", "r_k", "r_miny", "r_maxx", "r_maxy"]
+    got = [(r.l_k, r.r_k) for r in df.select("l_k", "r_k").collect()]
+    at = lambda i: 0 if i < 1500 else i % 7
+    want = {(i, j) for i in range(2000) for j in range(300) if (at(i) <= 2 if j % 2 == 0 else at(i) == 3)}
+    assert len(got) == len(want) and set(got) == want
+    listed = index._classes(a, "l_").selectExpr("size(l_rows) AS n").collect()
+    assert 20 < len(listed) < 200 and max(r.n for r in listed) < 200 and sum(r.n for r in listed) == 2000
+    assert df.select("l_minx", "l_s", "r_maxx").distinct().count() == 4
+    sides = a.select("minx", "miny", "maxx", "maxy")
+    assert index.spatial_join(sides, sides.limit(3), 1.0).count() == 3 * sum(at(i) == 0 for i in range(2000))
