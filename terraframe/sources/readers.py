@@ -23,6 +23,9 @@ from . import files, geojson, geopackage, geometry as G, geotiff, shapefile, wor
 #: Records or rows in a partition, and rows in an Arrow batch.
 PARTITION_ROWS = 50_000
 BATCH_ROWS = 2000
+#: Bytes of a SHP file in a partition, by the mean length of its records, and records at most. Records are decoded in chunks, so a partition's memory doesn't grow with
+#: its rows; every partition is a task that may write files.
+PARTITION_BYTES, MOST_ROWS = 32 << 20, 500_000
 #: A GeoJSON file longer than this is dealt out in chunks of this size.
 SPLIT_BYTES = 4 << 20
 EXTENSIONS = {"geojson": (".geojson", ".json"), "shapefile": (".shp",), "geopackage": (".gpkg",), "geotiff": (".tif", ".tiff"), "worldimage": (".png", ".jpg", ".jpeg")}
@@ -73,13 +76,12 @@ def _chunks(part: Part, lengths) -> Iterator[tuple[int, int]]:
 
 def _shapefile_batches(part: Part, extent) -> Iterator:
     """Arrow batches (columns of ``schema.FEATURE``) of a range of records."""
-    import numpy as np
     import pyarrow as pa
 
     from . import shapecolumns
 
     kit = shapefile.sidecars(part.path)
-    index = np.array(shapefile.entries(b"\0" * 100 + files.read(kit["shx"], 100 + 8 * part.first, 8 * (part.last - part.first))), np.int64).reshape(-1, 2)
+    index = shapecolumns.entries(files.read(kit["shx"], 100 + 8 * part.first, 8 * (part.last - part.first)))
     head = _table(kit["dbf"])
     codec = shapefile.encoding(files.read(kit["cpg"]).decode("latin-1") if kit["cpg"] else None, head.language)
     arrow = S.arrow_schema(S.FEATURE)
@@ -189,7 +191,10 @@ class FeatureReader(DataSourceReader):
                     n = body // 8
                     if _table(kit["dbf"]).rows != n:
                         raise G.Malformed(f"{path}: the SHX index and the DBF table have different numbers of records")
-                    out += [Part(path, None, a, min(n, a + PARTITION_ROWS)) for a in range(0, n, PARTITION_ROWS)]
+                    # ranges of equal numbers, so that the last is no small rest
+                    parts = max(1, -(-files.size(path) // PARTITION_BYTES), -(-n // MOST_ROWS))
+                    ends = [n * k // parts for k in range(parts + 1)]
+                    out += [Part(path, None, a, b) for a, b in zip(ends, ends[1:]) if a < b]
         if not out and self.layer is not None:
             raise ValueError(f"no layer {self.layer} in {self.path}")
         return out or [Part("")]

@@ -199,3 +199,22 @@ def test_polygons_are_written_and_read_by_column(tmp_path, request):
     request.getfixturevalue("no_single_records")
     got = run()
     assert [[len(r) for r in g["members"][0]["parts"][0]] for g in got["geometry"].to_pylist()] == [[len(r) for r in g["members"][0]["parts"][0]] for g in found]
+
+
+def test_ranges_of_a_shapefile_go_by_bytes(tmp_path, monkeypatch):
+    """Many small records are one partition; a long file is cut into ranges that hold each record once."""
+    n = 120_000
+    column = pa.StructArray.from_arrays([pa.nulls(n, t.type) for t in shapecolumns.GEOMETRY], fields=list(shapecolumns.GEOMETRY), mask=pa.array(np.ones(n, bool)))
+    s = shapefile.Shapes()
+    s.add(shapecolumns.encode(column))
+    for extension, data in zip(("shp", "shx", "dbf"), (*s.files(), shapefile.encode_head([("ID", "N", 1, 0)], n) + b" 1" * n + b"\x1a")):
+        (tmp_path / f"a.{extension}").write_bytes(data)
+    reader = readers.FeatureReader({"kind": "shapefile", "path": str(tmp_path / "a.shp")})
+    ranges = lambda: [(p.first, p.last) for p in reader.partitions()]
+    assert ranges() == [(0, n)]
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == n
+    for name, value in (("PARTITION_BYTES", 100_000), ("MOST_ROWS", 7_001)):
+        with monkeypatch.context() as m:
+            m.setattr(readers, name, value)
+            cut = ranges()
+            assert len(cut) > 10 and cut[0][0] == 0 and cut[-1][1] == n and all(a[1] == b[0] for a, b in zip(cut, cut[1:]))
