@@ -37,8 +37,13 @@ def _points(spark, sf_dir, z: bool = False) -> DataFrame:
     return p.select("id", point, "event_type", "value")
 
 
-def _boxes(spark, sf_dir) -> DataFrame:
-    p = parcels(spark, sf_dir)
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows dealt out by id, before they get geometries: a table of few row groups is read by few tasks, however many rows it has."""
+    return rows.repartition("id")
+
+
+def _boxes(spark, sf_dir, deal=lambda rows: rows) -> DataFrame:
+    p = deal(parcels(spark, sf_dir))
     c = lambda x, y: _coord(F.col(x), F.col(y))
     ring = F.array(c("minx", "miny"), c("maxx", "miny"), c("maxx", "maxy"), c("minx", "maxy"), c("minx", "miny"))
     return p.select("id", _geometry("Polygon", F.array(F.array(ring))), "p_name", "p_size")
@@ -154,7 +159,7 @@ def shapefile_extent(spark, sf_dir):
 @query(f"WITH {PARCELS} SELECT id, 'Polygon' AS kind, 5::INT AS positions, minx, miny, maxx, maxy FROM parcels")
 def shapefile_polygons(spark, sf_dir):
     folder = scratch(spark)
-    writers.write_features(_boxes(spark, sf_dir).select("id", "geometry"), folder, "shapefile", fields=[("id", "N", 18, 0)])
+    writers.write_features(_boxes(spark, sf_dir, _dealt).select("id", "geometry"), folder, "shapefile", fields=[("id", "N", 18, 0)])
     f = readers.read_features(spark, folder, format="shapefile")
     return f.select(_attribute("id", "long").alias("id"), F.col("geometry.type").alias("kind"), F.size(F.flatten(F.flatten(F.col("geometry.members")[0]["parts"]))).alias("positions"), "minx", "miny", "maxx", "maxy")
 

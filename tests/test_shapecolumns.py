@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from terraframe.plans import source_queries
 from terraframe.sources import files, geometry as G, readers, shapecolumns, shapefile, writers
 
 
@@ -218,3 +219,18 @@ def test_ranges_of_a_shapefile_go_by_bytes(tmp_path, monkeypatch):
             m.setattr(readers, name, value)
             cut = ranges()
             assert len(cut) > 10 and cut[0][0] == 0 and cut[-1][1] == n and all(a[1] == b[0] for a, b in zip(cut, cut[1:]))
+
+
+def dealt(spark, tmp_path, monkeypatch, query):
+    """Rows of a query on a table of one row group, and the files that it writes on the way."""
+    monkeypatch.setattr(source_queries, "scratch", lambda spark: str(tmp_path))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        return query(spark, "/root/testdata/sf0.001").count(), len(list(tmp_path.glob("*.shp")))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_polygons_of_one_row_group_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    rows, n = dealt(spark, tmp_path, monkeypatch, source_queries.shapefile_polygons)
+    assert rows == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count() and n == 4
