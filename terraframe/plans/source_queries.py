@@ -31,17 +31,17 @@ def _coord(x: Column, y: Column, z: Column | None = None) -> Column:
     return F.struct(x.alias("x"), y.alias("y"), (none if z is None else z).alias("z"), none.alias("m"))
 
 
-def _points(spark, sf_dir, z: bool = False) -> DataFrame:
-    p = places(spark, sf_dir)
-    point = _geometry("Point", F.array(F.array(F.array(_coord(F.col("x"), F.col("y"), F.col("value") if z else None)))))
-    return p.select("id", point, "event_type", "value")
-
-
 def _dealt(rows: DataFrame) -> DataFrame:
     """The rows dealt out by id, before they get geometries: a table of few row groups is read by few tasks, however many rows it has."""
     return rows.repartition("id")
 
 
+def _points(spark, sf_dir, z: bool = False, deal=lambda rows: rows) -> DataFrame:
+    p = deal(places(spark, sf_dir))
+    point = _geometry("Point", F.array(F.array(F.array(_coord(F.col("x"), F.col("y"), F.col("value") if z else None)))))
+    return p.select("id", point, "event_type", "value")
+
+
 def _boxes(spark, sf_dir, deal=lambda rows: rows) -> DataFrame:
     p = deal(parcels(spark, sf_dir))
     c = lambda x, y: _coord(F.col(x), F.col(y))
@@ -142,7 +142,7 @@ def geojson_kinds(spark, sf_dir):
 @query(f"WITH {PLACES} SELECT event_type, x, y, value AS z FROM places")
 def shapefile_scan(spark, sf_dir):
     folder = scratch(spark)
-    writers.write_features(_points(spark, sf_dir, z=True), folder, "shapefile", fields=[("event_type", "C", 20, 0), ("value", "N", 24, 6)])
+    writers.write_features(_points(spark, sf_dir, True, _dealt), folder, "shapefile", fields=[("event_type", "C", 20, 0), ("value", "N", 24, 6)])
     f = readers.read_features(spark, folder, format="shapefile")
     return f.select(_attribute("event_type", "string").alias("event_type"), F.col("minx").alias("x"), F.col("miny").alias("y"), F.col("geometry.members")[0]["parts"][0][0][0]["z"].alias("z"))
 

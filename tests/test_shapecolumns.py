@@ -234,3 +234,8 @@ def dealt(spark, tmp_path, monkeypatch, query):
 def test_polygons_of_one_row_group_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
     rows, n = dealt(spark, tmp_path, monkeypatch, source_queries.shapefile_polygons)
     assert rows == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count() and n == 4
+
+
+def test_points_of_one_row_group_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    rows, n = dealt(spark, tmp_path, monkeypatch, source_queries.shapefile_scan)
+    assert rows == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count() and n == 4
