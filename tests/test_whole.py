@@ -111,3 +111,31 @@ def test_rows_of_equal_envelopes_are_joined_as_one(spark, monkeypatch):
     assert df.select("l_minx", "l_s", "r_maxx").distinct().count() == 4
     sides = a.select("minx", "miny", "maxx", "maxy")
     assert index.spatial_join(sides, sides.limit(3), 1.0).count() == 3 * sum(at(i) == 0 for i in range(2000))
+
+
+def test_rows_of_crowded_envelopes_are_yielded_pair_by_pair(spark):
+    """Who takes the first row of a join waits for one pair of lists, not for all rows that an envelope gives."""
+    from terraframe.operators import index
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    points = spark.range(200).selectExpr("id AS k", "1D AS minx", "1D AS miny", "1D AS maxx", "1D AS maxy")
+    boxes = spark.range(900).selectExpr("id AS k", "0D AS minx", "0D AS miny", "2 + id % 300 / 1000D AS maxx", "2D AS maxy")
+    confs = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # sort-merge joins, as larger tables get
+    before = {k: spark.conf.get(k) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        for left, right in ((points, boxes), (boxes, points)):
+            df = index.spatial_join(left, right, 5.0)
+            plan = df._jdf.queryExecution().executedPlan()
+            assert len(plan.execute().take(1)) == 1
+            made = [n.metrics().apply("numOutputRows").value() for n in nodes(plan) if n.nodeName() == "Generate" and "_row#" in n.simpleString(50)]
+            assert len(made) == 4 and 0 < max(made) <= 1000
+            assert df.distinct().count() == 200 * 900
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
