@@ -139,3 +139,37 @@ def test_rows_of_crowded_envelopes_are_yielded_pair_by_pair(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_posted_envelopes_do_not_go_through_the_driver(spark):
+    """Spark takes the posted lists for far smaller than they are; the join broadcasts neither side, by hint or by adaptive execution."""
+    from pyspark.sql import functions as F
+    from terraframe.operators import index
+
+    def nodes(plan):
+        yield plan
+        inner = [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if plan.nodeName().endswith("QueryStage") else []
+        for p in [*inner, *[plan.children().apply(i) for i in range(plan.children().size())]]:
+            yield from nodes(p)
+
+    points = spark.range(2000).selectExpr("id AS k", "id * 7 % 90D AS minx", "id % 40D AS miny", "id * 7 % 90D AS maxx", "id % 40D AS maxy")
+    boxes = spark.range(4000).selectExpr("id AS k", "id % 80D AS minx", "id % 31D AS miny", "id % 80D + 17 AS maxx", "id % 31D + 17 + id DIV 2480 AS maxy")
+    key, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"
+    before = {k: spark.conf.get(k) for k in (key, adaptive)}
+    limit = 1 << 20
+    want = points.alias("a").join(boxes.alias("b"), F.expr("a.minx <= b.maxx AND a.maxx >= b.minx AND a.miny <= b.maxy AND a.maxy >= b.miny")).count()
+    spark.conf.set(key, str(limit))
+    spark.conf.set(adaptive, "true")
+    try:
+        for left, right in ((points, boxes), (boxes, points)):
+            df = index.spatial_join(left, right, 5.0)
+            plan = df._jdf.queryExecution().executedPlan()
+            assert len(plan.executeCollect()) == want
+            found = list(nodes(plan))
+            sent = [n.metrics().apply("dataSize").value() for n in found if n.nodeName() == "BroadcastExchange"]
+            joins = [n.nodeName() for n in found if "Join" in n.nodeName() and "_at#" in n.simpleString(50)]
+            assert max(sent, default=0) <= limit
+            assert joins and not any("Broadcast" in n for n in joins)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
